@@ -1,0 +1,37 @@
+"""Connected components of an edge table, without a driver-side graph: alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize, salt_of
+
+
+def stars(edges: DataFrame, *, salts: int = 8, most_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of `edges` (long columns a, b) but the roots; a root is its component's smallest node.
+
+    Rounds end when a round changes nothing. A node's smallest neighbour is found by a combining aggregation, and
+    handed to its neighbours in `salts` copies, so a hub doesn't fill a task.
+    """
+    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    sign = None
+    for _ in range(most_rounds):
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = _to_smallest(both, both.where("b > a"), salts)
+        turned = materialize(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "stars")
+        small = _to_smallest(turned, turned, salts).unionByName(turned.groupBy("a").agg(F.min("b").alias("b")))
+        now = materialize(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "stars")
+        found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
+        if found == sign:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        sign = found
+    raise RuntimeError(f"components: no end in {most_rounds} rounds")
+
+
+def _to_smallest(all_edges: DataFrame, moved: DataFrame, salts: int) -> DataFrame:
+    """For each edge (a, b) of `moved`: (b, the smallest of a and a's neighbours)."""
+    least = all_edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
+    least = least.select(F.col("a").alias("l_a"), "least", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("l_salt"))
+    on = (F.col("a") == F.col("l_a")) & (F.col("salt") == F.col("l_salt"))
+    return moved.withColumn("salt", salt_of(F.col("b"), salts)).join(least, on).select(F.col("b").alias("a"), F.col("least").alias("b"))
