@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_rules, sharding
+from . import exact_dedup, mixing, packing, perplexity, pii, quality_rules, sharding, simhash, substrings, tokens
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_personal_data": pii.op2_personal_data,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_rendezvous_sharding": sharding.op5_rendezvous_sharding,
+    "op6_substring_dedup": substrings.op6_substring_dedup,
+    "op7_token_lengths": tokens.op7_token_lengths,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op9_quality_perplexity": perplexity.op9_quality_perplexity,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 

@@ -37,8 +37,8 @@ def fingerprints_of(texts: pa.Array, size: int = 4) -> np.ndarray:
     out = np.zeros(len(starts) - 1, np.uint64)
     if not len(codes):
         return out.view(np.int64)
-    every = distinct.cast(pa.large_binary()).take(pa.array(codes))
-    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(every)], pa.int64()), every), b" ")[0].as_py()
+    every = distinct.cast(pa.binary()).take(pa.array(codes))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every), b" ")[0].as_py()
     length = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
     begin = np.cumsum(length + 1) - length - 1
     n_words = np.diff(starts)
