@@ -135,18 +135,12 @@ def minimisers(docs: DataFrame, window: int) -> DataFrame:
     return in_arrow(docs.select("text"), count, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
 
 
-def repeated_in(packed: list[bytes], n: np.ndarray, window: int) -> np.ndarray:
-    """For the windows of a bucket's strings in turn: whether its words stand there more than once. Hashes are sorted to find windows that
+def repeated_in(packed: pa.Array, n: np.ndarray, window: int) -> np.ndarray:
+    """For the windows of whole buckets' strings in turn: whether its words stand there more than once. Hashes are sorted to find windows that
     may be equal; those are compared word for word."""
-    parts = [p.split(b" ") for p in packed]
-    sizes = np.array([len(p) for p in parts])
-    flat = [w for p in parts for w in p]
-    known: dict[bytes, int] = {}
-    for w in flat:
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w, 7)
-    h = rolling(np.fromiter((known[w] for w in flat), np.uint64, len(flat)), window)
-    begin = np.cumsum(sizes) - sizes
+    distinct, codes, begin = words(packed.cast(pa.string()))
+    h = rolling(hashes(distinct)[codes], window)
+    begin = begin[:-1]
     at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
     own = h[at]
     order = np.argsort(own, kind="stable")
@@ -156,12 +150,12 @@ def repeated_in(packed: list[bytes], n: np.ndarray, window: int) -> np.ndarray:
         return out
     run = np.concatenate([[0], np.cumsum(~same)])
     often = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    seen: dict[tuple, int] = {}
+    seen: dict[bytes, int] = {}
     last = -1
     for i, r in zip(order[often].tolist(), run[often].tolist(), strict=True):
         if r != last:
             seen, last = {}, r
-        words_here = tuple(flat[at[i] : at[i] + window])
+        words_here = codes[at[i] : at[i] + window].tobytes()
         if words_here in seen:
             out[i] = out[seen[words_here]] = True
         else:
@@ -176,27 +170,16 @@ def ranges_in_order(window: int):
         held: list[pa.RecordBatch] = []
 
         def ranges(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, n = rows["minimiser"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
-            packed, first = rows["packed"].to_pylist(), rows["start"].to_numpy()
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-            row, lo, hi = [], [], []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if b - a == 1 and n[a] < 2:
-                    continue
-                twice = repeated_in(packed[a:b], n[a:b], window)
-                if not twice.any():
-                    continue
-                of = np.repeat(np.arange(a, b), n[a:b])
-                step = np.arange(len(of)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
-                i = np.flatnonzero(twice)
+            n, first = rows["n"].to_numpy().astype(np.int64), rows["start"].to_numpy()
+            i = np.flatnonzero(repeated_in(rows["packed"].combine_chunks(), n, window))
+            if len(i):
+                of = np.repeat(np.arange(len(n)), n)
+                step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
                 new = np.concatenate([[True], (np.diff(i) > 1) | (np.diff(of[i]) > 0)])
                 end = np.append(np.flatnonzero(new)[1:] - 1, len(i) - 1)
-                row.append(of[i[new]])
-                lo.append(first[of[i[new]]] + step[i[new]])
-                hi.append(first[of[i[end]]] + step[i[end]] + window)
-            if row:
-                ids = pa.array(np.concatenate(row))
-                got = [rows["doc_id"].take(ids), rows["thash"].take(ids), pa.array(np.concatenate(lo), pa.int32()), pa.array(np.concatenate(hi), pa.int32())]
+                row, lo, hi = of[i[new]], first[of[i[new]]] + step[i[new]], first[of[i[end]]] + step[i[end]] + window
+                ids = pa.array(row)
+                got = [rows["doc_id"].take(ids), rows["thash"].take(ids), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())]
                 yield from pa.table(got, names=["doc_id", "thash", "lo", "hi"]).combine_chunks().to_batches()
 
         for batch in batches:
