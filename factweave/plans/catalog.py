@@ -323,9 +323,16 @@ def feature_normalize(spark, sf_dir):
     return n.join(most, "event_type").select("pid", "event_type", "n", F.round(F.col("n") / F.col("most"), 6).alias("share"))
 
 
+def _all() -> None:
+    """Modules that register further queries."""
+    from factweave.plans import reports  # noqa: F401
+
+
 def queries() -> dict:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(ORACLES)

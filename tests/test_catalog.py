@@ -17,7 +17,7 @@ def oracle():
     return db
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, oracle, name):
     got = catalog.queries()[name](spark, SF)
     wanted = oracle.sql(catalog.oracle_sql()[name])
@@ -63,3 +63,15 @@ def test_graphs(spark):
     assert {tuple(r) for r in graph.distances(g, edges(spark, [(1, 1)]).selectExpr("src node")).collect()} == {(1, 0), (2, 1), (3, 2), (4, 3)}
     none = edges(spark, [])
     assert graph.closure(none).count() == graph.components(none).count() == graph.strong_components(none).count() == 0
+
+
+def test_ranks(spark):
+    from pyspark.sql import functions as F
+
+    from factweave.operators.ranking import ranked, take_top
+
+    rows = spark.range(1000).select("id", (F.col("id") % 3).alias("w"))
+    wanted = {(i, n + 1) for n, i in enumerate(sorted(range(1000), key=lambda i: (-(i % 3), i)))}
+    assert {(r.id, r["rank"]) for r in ranked(rows, [F.desc("w"), F.asc("id")]).collect()} == wanted
+    assert take_top(rows, [F.desc("w"), F.asc("id")], 10).count() == 100
+    assert ranked(rows.where("id < 0"), [F.asc("id")]).count() == 0
