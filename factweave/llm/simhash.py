@@ -193,11 +193,5 @@ def near_groups(docs: DataFrame, *, size: int = 4, key: str = "doc_id", salts: i
     return out.select(key, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its component, with all their columns."""
-    kept = near_groups(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
-
-
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read_table(spark, sf_dir, "documents"))
