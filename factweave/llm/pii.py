@@ -20,13 +20,23 @@ from .tokens import steps
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "national_phone")
 BASE = KINDS[:4]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+ALPHANUMERIC = CAPITALS | frozenset("abcdefghijklmnopqrstuvwxyz")
 #: The part of an address from its @ on: an address starts as far left of it as LOCAL goes.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A match always starts a run of digits, as its last part takes a whole run: so it is looked for only there.
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+#: Characters of a country's account numbers, without spaces.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18,
+    "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23,
+    "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27,
+    "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19,
+    "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9-])")
 #: Score of a confirmed span, and words that raise or lower it when they stand within CONTEXT characters.
@@ -53,6 +63,27 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers of their country's length; those of other countries end at the last boundary, within 15 to 34 characters, that mod-97 holds at."""
+    at = 0
+    while m := IBAN.search(text, at):
+        at = m.start() + 1
+        length = IBAN_LENGTHS.get(m[0][:2])
+        ends, end, n = [], m.end(), 4
+        while n < (length or 34):
+            step = end + text.startswith(" ", end)
+            if step >= len(text) or text[step] not in CAPITALS:
+                break
+            end, n = step + 1, n + 1
+            if n >= (length or 15) and not (end < len(text) and text[end] in ALPHANUMERIC):
+                ends.append(end)
+        for end in reversed(ends):
+            if mod97(text[m.start() : end]):
+                yield m.start(), end
+                at = end
+                break
+
+
 def byte_sized(part: str) -> bool:
     bare = part.lstrip("0")
     return len(bare) <= 3 and int(bare or "0") <= 255
@@ -88,9 +119,8 @@ def proposed(text: str) -> Iterator[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 10 <= len(only_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", m.start(), m.end()
+    for a, b in ibans(text):
+        yield "iban", a, b
     for m in SSN.finditer(text):
         if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
             yield "ssn", m.start(), m.end()
