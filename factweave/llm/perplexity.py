@@ -93,14 +93,24 @@ def gram_log_probabilities(trusted: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("gram", (-F.log2(tri)).alias("bits"))
 
 
+def thresholds(held: DataFrame, score: str, quantile: float) -> DataFrame:
+    """lang, threshold: the `quantile` of the language's held-out scores where they are enough to have one below their
+    maximum; else the maximum and a margin, the larger interquartile range of the language's and of all held-out scores."""
+    wide = F.percentile(score, F.lit(0.75)) - F.percentile(score, F.lit(0.25))
+    own = held.groupBy("lang").agg(F.percentile(score, F.lit(quantile)).alias("at"), F.max(score).alias("most"), F.count("*").alias("k"), wide.alias("own"))
+    own = own.join(F.broadcast(held.agg(wide.alias("every"))))  # one row
+    few = F.col("k") * (1 - quantile) < 1
+    return own.select("lang", F.when(few, F.col("most") + F.greatest("own", "every")).otherwise(F.col("at")).alias("threshold"))
+
+
 def quality_report(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, held_out: int = 4, slack: float = 6.0) -> DataFrame:
     """One row per row of `docs` (doc_id, text, lang are read): doc_id, lang, n_chars_scored, perplexity, score, threshold, kept, thash.
 
     Trusted are documents with a label of quality 1 and toxic 0 and no other label; all of them are used, one in
     `held_out` (by a hash of doc_id) for the thresholds and the others for the model. `score` is bits per code point less
     `slack` / n, to PLACES places, so the first words of a short text don't decide. A document is kept up to the
-    `quantile` of its language's held-out scores, or of all where its language has none (null is a language); without any
-    held-out text all are kept. Null and empty texts have perplexity 1 and are kept. Repeated rows are judged
+    threshold that thresholds() draws from its language's held-out scores (null is a language); all are kept where there
+    are none. Null and empty texts have perplexity 1 and are kept. Repeated rows are judged
     alike. Null ids are never trusted. An empty table gives no rows.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce(F.col("quality") == 1, F.lit(False)) & F.coalesce(F.col("toxic") == 0, F.lit(False))).alias("good"))
@@ -121,11 +131,7 @@ def quality_report(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.99
     scored = heads.join(sums, "row", "left").withColumn("bits", F.coalesce("bits", F.lit(0.0)))
     per = F.when(F.col("n") > 0, F.col("bits") / F.col("n")).otherwise(0.0)
     scored = materialize(scored.withColumn("perplexity", F.pow(F.lit(2.0), per)).withColumn("score", F.round(F.when(F.col("n") > 0, per - slack / F.col("n")).otherwise(0.0), PLACES)), "scored")
-    held = scored.where("role = 'held' and n > 0")
-    own = held.groupBy(F.col("lang").alias("t_lang")).agg(F.percentile("score", F.lit(quantile)).alias("own"))
-    every = held.agg(F.percentile("score", F.lit(quantile)).alias("every"))
-    out = lookup(scored, own.withColumnRenamed("t_lang", "lang"), ["lang"], F.col("row")).join(F.broadcast(every))  # one row
-    out = out.withColumn("threshold", F.coalesce("own", "every"))
+    out = lookup(scored, thresholds(scored.where("role = 'held' and n > 0"), "score", quantile), ["lang"], F.col("row"))
     return out.select("doc_id", "lang", F.col("n").alias("n_chars_scored"), "perplexity", "score", "threshold", F.coalesce((F.col("n") == 0) | (F.col("score") <= F.col("threshold")), F.lit(True)).alias("kept"), "thash")
 
 
