@@ -3,12 +3,15 @@
 Grams are three code points, exact in 63 bits. Documents become gram counts once; the trusted ones, summed over all of
 them, give the model: three count tables sharded by their grams, each order's discounts from its counts of counts,
 and back-off weights by joins. Each distinct gram of the corpus gets its probability by joins with these shards, and a
-salted join brings it to the documents. Documents pass up to a quantile of what held-out trusted documents of their
-language score.
+salted join brings it to the documents. Distinct words are scored besides: by their counts in trusted text, smoothed
+with how the grams spell them, so that a document is also judged by its least likely word. Documents pass up to a
+quantile of what held-out trusted documents of their language score, by the mean and by that word.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,8 @@ BITS = 21
 MASK = (1 << BITS) - 1
 #: Scores are kept to so many places, which bounds the values that a quantile is taken over.
 PLACES = 3
+#: Words of letters alone, but for punctuation after them; numbers, addresses and keys are left to the mean.
+LETTERS = re.compile(r"(?<![^\x20\x09-\x0D])([^\W\d_]+)[.,!?;:]*(?![^\x20\x09-\x0D])")
 
 
 def grams_of(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +53,53 @@ def gram_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     return in_arrow(docs.select(*keep, text_of().alias("text")), count, ", ".join([*names, "grams array<long>", "counts array<int>"]))
 
 
+def word_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep` columns, distinct words of letters and counts (arrays) for each row of `docs`."""
+    names = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, limit=2_000_000):
+                got = [Counter(LETTERS.findall(t)) for t in part.column("text").to_pylist()]
+                lists = [pa.array([list(c) for c in got], pa.list_(pa.string())), pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], *lists], [*keep, "words", "counts"])
+
+    return in_arrow(docs.select(*keep, text_of().alias("text")), count, ", ".join([*names, "words array<string>", "counts array<int>"]))
+
+
+def spelled(words: DataFrame) -> DataFrame:
+    """word, gram for each code point of a word but the first, and for the space after it, a space standing before the word."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 20_000):
+                part = batch.column("word").slice(at, 20_000).to_pylist()
+                code = np.frombuffer("".join(f" {w} " for w in part).encode("utf-32-le"), "<u4").astype(np.int64)
+                size = np.fromiter(map(len, part), np.int64, len(part))
+                first = np.cumsum(size + 2) - size - 2
+                row = np.repeat(np.arange(len(part)), size)
+                i = first[row] + np.arange(len(row)) - (np.cumsum(size) - size)[row]
+                gram = (code[i] << (2 * BITS)) | (code[i + 1] << BITS) | code[i + 2]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()).take(pa.array(row)), pa.array(gram)], ["word", "gram"])
+
+    return in_arrow(words.select("word"), spell, "word string, gram long")
+
+
+def word_bits(trusted: DataFrame, spellings: DataFrame, bits: DataFrame) -> DataFrame:
+    """word, word_bits (-log2 P a letter) for each word of `spellings`: its discounted share of the words of `trusted`
+    (word, c), and of what the discounts leave, the probability of its spelling."""
+    spells = lookup(spellings, bits, ["gram"], F.xxhash64("word"), how="inner").groupBy("word").agg(F.sum("bits").alias("spelling"))
+    sums = trusted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("types"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"))
+    rows = spells.join(trusted, "word", "left").join(F.broadcast(sums))  # one row
+    d = F.least(F.greatest(F.coalesce(F.try_divide(F.col("n1").cast("double"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5)), F.lit(0.1)), F.lit(0.95))
+    own = F.coalesce(F.try_divide(F.greatest(F.col("c") - d, F.lit(0.0)), F.col("total")), F.lit(0.0))
+    rest = F.coalesce(F.try_divide(d * F.col("types"), F.col("total")), F.lit(1.0))
+    # by logarithms where the word itself is unseen, as long words' spellings have no double
+    unseen = F.col("spelling") - F.log2(rest)
+    seen = -F.log2(own + rest * F.pow(F.lit(2.0), -F.col("spelling")))
+    return rows.select("word", (F.when(own > 0, seen).otherwise(unseen) / (F.char_length("word") + 1)).alias("word_bits"))
+
+
 def _order(counts: DataFrame) -> DataFrame:
     """From (context, gram, c): context, gram, p (the discounted share) and gamma (the context's back-off weight)."""
     n = counts.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
@@ -104,13 +156,14 @@ def thresholds(held: DataFrame, score: str, quantile: float) -> DataFrame:
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, held_out: int = 4, slack: float = 6.0) -> DataFrame:
-    """One row per row of `docs` (doc_id, text, lang are read): doc_id, lang, n_chars_scored, perplexity, score, threshold, kept, thash.
+    """One row per row of `docs` (doc_id, text, lang are read): doc_id, lang, n_chars_scored, perplexity, score, threshold, worst, worst_threshold, kept, thash.
 
     Trusted are documents with a label of quality 1 and toxic 0 and no other label; all of them are used, one in
     `held_out` (by a hash of doc_id) for the thresholds and the others for the model. `score` is bits per code point less
-    `slack` / n, to PLACES places, so the first words of a short text don't decide. A document is kept up to the
-    threshold that thresholds() draws from its language's held-out scores (null is a language); all are kept where there
-    are none. Null and empty texts have perplexity 1 and are kept. Repeated rows are judged
+    `slack` / n, to PLACES places, so the first words of a short text don't decide. `worst` is bits per letter of the least
+    likely word of letters (null without such words), to PLACES places. A document is kept up to the
+    thresholds that thresholds() draws from its language's held-out scores and worst words (null is a language); all are
+    kept where there are none. Null and empty texts have perplexity 1 and are kept. Repeated rows are judged
     alike. Null ids are never trusted. An empty table gives no rows.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce(F.col("quality") == 1, F.lit(False)) & F.coalesce(F.col("toxic") == 0, F.lit(False))).alias("good"))
@@ -125,14 +178,24 @@ def quality_report(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.99
     flat = lambda t: t.select("row", F.explode(F.arrays_zip("grams", "counts")).alias("x")).select("row", F.col("x.grams").alias("gram"), F.col("x.counts").alias("c"))
     train = counted.join(heads.where("role = 'train'").select("row"), "row", "left_semi")
     trusted = materialize(flat(train).groupBy("gram").agg(F.sum("c").alias("c")), "trusted")
-    wanted = counted.select(F.explode("grams").alias("gram")).distinct()
+    worded = materialize(word_counts(rows, ["row"]), "word-counts")
+    flat_words = lambda t: t.select("row", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
+    train_words = worded.join(heads.where("role = 'train'").select("row"), "row", "left_semi")
+    trusted_words = materialize(flat_words(train_words).groupBy("word").agg(F.sum("c").alias("c")), "trusted-words")
+    spellings = materialize(spelled(worded.select(F.explode("words").alias("word")).distinct()), "spellings")
+    wanted = counted.select(F.explode("grams").alias("gram")).unionByName(spellings.select("gram")).distinct()
     bits = materialize(gram_log_probabilities(trusted, wanted), "bits")
     sums = lookup(flat(counted), bits, ["gram"], F.col("row"), how="inner").groupBy("row").agg(F.sum(F.col("c") * F.col("bits")).alias("bits"))
-    scored = heads.join(sums, "row", "left").withColumn("bits", F.coalesce("bits", F.lit(0.0)))
+    by_word = materialize(word_bits(trusted_words, spellings, bits), "word-bits")
+    worst = lookup(worded.select("row", F.explode("words").alias("word")), by_word, ["word"], F.col("row"), how="inner").groupBy("row").agg(F.round(F.max("word_bits"), PLACES).alias("worst"))
+    scored = heads.join(sums, "row", "left").join(worst, "row", "left").withColumn("bits", F.coalesce("bits", F.lit(0.0)))
     per = F.when(F.col("n") > 0, F.col("bits") / F.col("n")).otherwise(0.0)
     scored = materialize(scored.withColumn("perplexity", F.pow(F.lit(2.0), per)).withColumn("score", F.round(F.when(F.col("n") > 0, per - slack / F.col("n")).otherwise(0.0), PLACES)), "scored")
-    out = lookup(scored, thresholds(scored.where("role = 'held' and n > 0"), "score", quantile), ["lang"], F.col("row"))
-    return out.select("doc_id", "lang", F.col("n").alias("n_chars_scored"), "perplexity", "score", "threshold", F.coalesce((F.col("n") == 0) | (F.col("score") <= F.col("threshold")), F.lit(True)).alias("kept"), "thash")
+    held = scored.where("role = 'held' and n > 0")
+    out = lookup(scored, thresholds(held, "score", quantile), ["lang"], F.col("row"))
+    out = lookup(out, thresholds(held.where("worst is not null"), "worst", quantile).withColumnRenamed("threshold", "worst_threshold"), ["lang"], F.col("row"))
+    within = F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)) & F.coalesce(F.col("worst") <= F.col("worst_threshold"), F.lit(True))
+    return out.select("doc_id", "lang", F.col("n").alias("n_chars_scored"), "perplexity", "score", "threshold", "worst", "worst_threshold", ((F.col("n") == 0) | within).alias("kept"), "thash")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -144,4 +207,4 @@ def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def op9_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "lang", "n_chars_scored", F.round("perplexity", 6).alias("perplexity"), "score", F.round("threshold", 6).alias("threshold"), "kept")
+    return out.select("doc_id", "lang", "n_chars_scored", F.round("perplexity", 6).alias("perplexity"), "score", F.round("threshold", 6).alias("threshold"), "worst", F.round("worst_threshold", 6).alias("worst_threshold"), "kept")

@@ -1,0 +1,34 @@
+"""The word score: single unlikely words in long clean documents."""
+
+import random
+from math import log2
+
+import pytest
+
+from factweave.llm import perplexity
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice(("ba", "ce", "di", "fo", "gu")) for _ in range(rng.randrange(1, 4))) for _ in range(n)) + " 4266-26 x9y."
+
+
+def test_one_unlikely_word_in_a_long_document(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 500), "en") for i in range(160)]
+    bad = prose(rng, 250) + " gdbcuf, " + prose(rng, 250)
+    docs = spark.createDataFrame([*rows, (1000, bad, "en"), (1001, "12 34", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in perplexity.quality_report(docs, labels).collect()}
+    assert got[1000].score <= got[1000].threshold and got[1000].worst > got[1000].worst_threshold and not got[1000].kept
+    assert got[1001].worst is None and all(got[i].kept for i in range(160))
+
+
+def test_word_bits(spark):
+    trusted = spark.createDataFrame([("ab", 1), ("ba", 2), ("a", 5)], "word string, c long")
+    spellings = perplexity.spelled(spark.createDataFrame([("ab",), ("bb",)], "word string")).collect()
+    text = lambda g: "".join(chr(g >> s & perplexity.MASK) for s in (42, 21, 0))
+    assert sorted((r.word, text(r.gram)) for r in spellings) == [("ab", " ab"), ("ab", "ab "), ("bb", " bb"), ("bb", "bb ")]
+    bits = spark.createDataFrame([(g, 3.0) for g in {r.gram for r in spellings}], "gram long, bits double")
+    got = {r.word: r.word_bits for r in perplexity.word_bits(trusted, spark.createDataFrame(spellings), bits).collect()}
+    d = 1 / 3
+    assert got["ab"] == pytest.approx(-log2((1 - d) / 8 + d * 3 / 8 / 64) / 3) and got["bb"] == pytest.approx(-log2(d * 3 / 8 / 64) / 3)
