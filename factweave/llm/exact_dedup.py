@@ -58,9 +58,11 @@ def dedup_report(docs: DataFrame, *, salts: int = 48, digest=sha256) -> DataFram
 
 
 def exact_dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that dedup_report() keeps, with all their columns."""
-    kept = dedup_report(docs, **options).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+    """One row of each text, with all its columns: that of the largest doc_id, null before all others, ties by row."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "exact-rows")
+    keyed = rows.select(F.struct("doc_id", "__row").alias("doc_id"), "text")  # a null id in a struct is less than all others
+    kept = dedup_report(keyed, **options).where("kept").select(F.col("doc_id")["__row"].alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
