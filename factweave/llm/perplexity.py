@@ -1,148 +1,279 @@
 """Operator 9: quality by the perplexity of an interpolated modified Kneser-Ney model of trusted text.
 
-Grams are three code points, exact in 63 bits. Documents become gram counts once; the trusted ones, summed over all of
-them, give the model: three count tables sharded by their grams, each order's discounts from its counts of counts,
-and back-off weights by joins. Each distinct gram of the corpus gets its probability by joins with these shards, and a
-salted join brings it to the documents. Distinct words are scored besides: by their counts in trusted text, smoothed
-with how the grams spell them, so that a document is also judged by its least likely word. Documents pass up to a
-quantile of what held-out trusted documents of their language score, by the mean and by that word.
+Grams are six bytes, exact in a long (kneser_ney.py). Documents are dealt once to blocks of some MB, in a table bucketed
+by block, so a block's texts never travel again. A block combines before anything is shuffled: it counts the grams of
+its trusted documents, and asks for each distinct gram once. Counts and questions meet in shards by the two bytes before
+a gram's last, counts are summed there, and the answers go back to their blocks, which add them up for each document.
+
+There are two folds by doc_id: a document is scored by the models of the other fold's text, so none is scored by a model
+that has read it, and all trusted documents set thresholds. Beside the mean, a document is judged by the stretch of
+WIDTH bytes that distrusted text explains best against trusted text; a short insult hardly moves the mean of a long document.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_arrow, lookup, materialize, read_table, text_of
+from . import kneser_ney as kn
+from .common import free_name, in_arrow, lookup, materialize, read_table, shared_dir, text_of
 from .tokens import steps
 
-ORDER = 3
-BITS = 21
-MASK = (1 << BITS) - 1
+#: Text of a block, in bytes; a longer document is a block of its own.
+BLOCK = 16_000_000
+#: Bytes of text whose grams are held at once.
+STEP = 2_000_000
+#: Bytes of the stretch that a document is also judged by: about two words.
+WIDTH = 16
 #: Scores are kept to so many places, which bounds the values that a quantile is taken over.
 PLACES = 3
-#: Words of letters alone, but for punctuation after them; numbers, addresses and keys are left to the mean.
-LETTERS = re.compile(r"(?<![^\x20\x09-\x0D])([^\W\d_]+)[.,!?;:]*(?![^\x20\x09-\x0D])")
+MOST_SHARDS = 4096
 
 
-def grams_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(gram, count), each code point with the two before it; a text starts after two zeros."""
-    c = np.concatenate([np.zeros(ORDER - 1, np.int64), np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)])
-    return np.unique((c[:-2] << (2 * BITS)) | (c[1:-1] << BITS) | c[2:], return_counts=True)
+def packed(values: np.ndarray, size: int) -> bytes:
+    """`size` low bytes of each value, laid out byte by byte and compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1)[:, :size].T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def gram_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep` columns, grams and counts (arrays) for each row of `docs`."""
-    names = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
+def unpacked(data: bytes, n: int, size: int, kind: type) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :size] = planes.T
+    return out.reshape(-1).view(kind)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in steps(batch, limit=2_000_000):
-                got = [grams_of(t) for t in part.column("text").to_pylist()]
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(g) for g, _ in got])]), pa.int32())
-                flat = [np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in (0, 1)]
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(flat[0], pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(flat[1], pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], *lists], [*keep, "grams", "counts"])
 
-    return in_arrow(docs.select(*keep, text_of().alias("text")), count, ", ".join([*names, "grams array<long>", "counts array<int>"]))
+def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
+    pair = ((grams >> 8) & 0xFFFF).astype(np.uint64)
+    return (((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(shards)).astype(np.int32)
 
 
-def word_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep` columns, distinct words of letters and counts (arrays) for each row of `docs`."""
-    names = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
+def by_shard(grams: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places of its grams), the grams sorted in each."""
+    of = shard_of(grams, shards)
+    order = np.argsort(of, kind="stable")
+    ends = np.cumsum(np.bincount(of, minlength=shards))
+    for s in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+        yield s, order[ends[s - 1] if s else 0 : ends[s]]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in steps(batch, limit=2_000_000):
-                got = [Counter(LETTERS.findall(t)) for t in part.column("text").to_pylist()]
-                lists = [pa.array([list(c) for c in got], pa.list_(pa.string())), pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], *lists], [*keep, "words", "counts"])
 
-    return in_arrow(docs.select(*keep, text_of().alias("text")), count, ", ".join([*names, "words array<string>", "counts array<int>"]))
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    every = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return every[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def slices(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    for batch in table.combine_chunks().to_batches():
+        yield from steps(batch, limit=STEP)
+
 
+def distinct(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, counts) of all texts, sorted."""
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part in slices(texts):
+        k, c = np.unique(kn.grams_of(*bytes_of(part.column("text"))), return_counts=True)
+        keys.append(k)
+        counts.append(c)
+    return summed(keys, counts)
 
-def spelled(words: DataFrame) -> DataFrame:
-    """word, gram for each code point of a word but the first, and for the space after it, a space standing before the word."""
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(count, first) if len(key) else count
+
+
+def dealt(docs: DataFrame, block: str, row: str, total: int) -> DataFrame:
+    """All rows of `docs` with `row`, a number of their own, and `block`, whose last bit is the fold of doc_id; written once, bucketed by block."""
+    fold = free_name(docs, "fold")
+    rows = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(fold, F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)), F.lit(0)).cast("int"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, size = TaskContext.get().partitionId() << 32, [0, 0], [0, 0]
         for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                part = batch.column("word").slice(at, 20_000).to_pylist()
-                code = np.frombuffer("".join(f" {w} " for w in part).encode("utf-32-le"), "<u4").astype(np.int64)
-                size = np.fromiter(map(len, part), np.int64, len(part))
-                first = np.cumsum(size + 2) - size - 2
-                row = np.repeat(np.arange(len(part)), size)
-                i = first[row] + np.arange(len(row)) - (np.cumsum(size) - size)[row]
-                gram = (code[i] << (2 * BITS)) | (code[i + 1] << BITS) | code[i + 2]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()).take(pa.array(row)), pa.array(gram)], ["word", "gram"])
-
-    return in_arrow(words.select("word"), spell, "word string, gram long")
-
-
-def word_bits(trusted: DataFrame, spellings: DataFrame, bits: DataFrame) -> DataFrame:
-    """word, word_bits (-log2 P a letter) for each word of `spellings`: its discounted share of the words of `trusted`
-    (word, c), and of what the discounts leave, the probability of its spelling."""
-    spells = lookup(spellings, bits, ["gram"], F.xxhash64("word"), how="inner").groupBy("word").agg(F.sum("bits").alias("spelling"))
-    sums = trusted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("types"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"))
-    rows = spells.join(trusted, "word", "left").join(F.broadcast(sums))  # one row
-    d = F.least(F.greatest(F.coalesce(F.try_divide(F.col("n1").cast("double"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5)), F.lit(0.1)), F.lit(0.95))
-    own = F.coalesce(F.try_divide(F.greatest(F.col("c") - d, F.lit(0.0)), F.col("total")), F.lit(0.0))
-    rest = F.coalesce(F.try_divide(d * F.col("types"), F.col("total")), F.lit(1.0))
-    # by logarithms where the word itself is unseen, as long words' spellings have no double
-    unseen = F.col("spelling") - F.log2(rest)
-    seen = -F.log2(own + rest * F.pow(F.lit(2.0), -F.col("spelling")))
-    return rows.select("word", (F.when(own > 0, seen).otherwise(unseen) / (F.char_length("word") + 1)).alias("word_bits"))
-
-
-def _order(counts: DataFrame) -> DataFrame:
-    """From (context, gram, c): context, gram, p (the discounted share) and gamma (the context's back-off weight)."""
-    n = counts.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.coalesce(F.try_divide(F.col("n1").cast("double"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
-
-    def discount(k: int) -> Column:
-        d = F.lit(float(k)) - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}").cast("double"), F.col(f"n{k}"))
-        return F.least(F.greatest(F.coalesce(d, F.lit(0.5 * k)), F.lit(0.1)), F.lit(float(k) - 0.05))
-
-    n = n.select(*[discount(k).alias(f"d{k}") for k in (1, 2, 3)])
-    rows = counts.join(F.broadcast(n))  # one row
-    d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = rows.withColumn("d", d)
-    sums = rows.groupBy("context").agg(F.sum("c").alias("total"), F.sum("d").alias("given"))
-    sums = sums.select("context", "total", (F.col("given") / F.col("total")).alias("gamma"))
-    return rows.join(sums, "context").select("context", "gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("p"), "gamma")
-
-
-def gram_log_probabilities(trusted: DataFrame, wanted: DataFrame) -> DataFrame:
-    """gram, bits (-log2 P of its last code point after the two before it) for each of `wanted`, distinct grams.
-
-    `trusted` is (gram, c) summed over the training text. Without any, all code points are equally likely.
-    """
-    low = lambda x: F.col(x).bitwiseAND(F.lit((1 << 2 * BITS) - 1))
-    three = trusted.select(F.shiftright("gram", BITS).alias("context"), "gram", "c")
-    two_counts = trusted.groupBy(low("gram").alias("gram")).agg(F.count("*").alias("c"))  # how many code points it follows
-    two = two_counts.select(F.shiftright("gram", BITS).alias("context"), "gram", "c")
-    one_counts = two_counts.groupBy(F.col("gram").bitwiseAND(F.lit(MASK)).alias("gram")).agg(F.count("*").alias("c"))
-    one = one_counts.select(F.lit(0).cast("long").alias("context"), "gram", "c")
-    p3, p2, p1 = (materialize(_order(x), f"order{k}") for k, x in ((3, three), (2, two), (1, one)))
-    ground = p1.agg(F.coalesce(F.max("gamma"), F.lit(1.0)).alias("g1"), (F.count("*") + 1).alias("v"))
-    contexts = lambda t, name: t.groupBy("context").agg(F.max("gamma").alias(name)).withColumnRenamed("context", f"c_{name}")
-    rows = wanted.select("gram", F.shiftright("gram", BITS).alias("xy"), low("gram").alias("yz"), F.shiftright("gram", BITS).bitwiseAND(F.lit(MASK)).alias("y"), F.col("gram").bitwiseAND(F.lit(MASK)).alias("z"))
-    for table, name, key in ((p3, "p3", "gram"), (p2, "p2", "yz"), (p1, "p1", "z")):
-        rows = rows.join(table.select(F.col("gram").alias(f"k_{name}"), F.col("p").alias(name)), F.col(key) == F.col(f"k_{name}"), "left").drop(f"k_{name}")
-    for table, name, key in ((p3, "g3", "xy"), (p2, "g2", "y")):
-        rows = rows.join(contexts(table, name), F.col(key) == F.col(f"c_{name}"), "left").drop(f"c_{name}")
-    rows = rows.join(F.broadcast(ground))  # one row
-    zero, all_of = F.lit(0.0), F.lit(1.0)
-    uni = F.coalesce("p1", zero) + F.col("g1") / F.col("v")
-    bi = F.coalesce("p2", zero) + F.coalesce("g2", all_of) * uni
-    tri = F.coalesce("p3", zero) + F.coalesce("g3", all_of) * bi
-    return rows.select("gram", (-F.log2(tri)).alias("bits"))
+            for part in steps(batch, limit=STEP):
+                for f in (0, 1):
+                    mine = part.filter(pc.equal(part.column(fold), f))
+                    if not mine.num_rows:
+                        continue
+                    ids = pa.array(np.full(mine.num_rows, task | number[f] << 1 | f))
+                    yield pa.RecordBatch.from_arrays([*[mine.column(c) for c in mine.schema.names if c != fold], ids], [*[c for c in mine.schema.names if c != fold], block])
+                    size[f] += pc.sum(pc.binary_length(mine.column("text"))).as_py() or 0
+                    if size[f] >= BLOCK:
+                        number[f], size[f] = number[f] + 1, 0
+
+    schema = rows.drop(fold).withColumn(block, F.lit(0).cast("long")).schema
+    name = f"quality_blocks_{uuid.uuid4().hex}"
+    buckets = max(16, min(50_000, total // (4 * BLOCK)))
+    out = in_arrow(rows, deal, schema)
+    out.write.bucketBy(buckets, block).sortBy(block).option("path", f"{shared_dir(docs.sparkSession)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
+    return docs.sparkSession.table(name)
+
+
+def roles(labels: DataFrame) -> DataFrame:
+    """doc_id, role: 0 where all labels of it are quality 1 and toxic 0, 1 where any is quality 0 or toxic 1; others and null ids are left out."""
+    good = F.coalesce(F.col("quality") == 1, F.lit(False)) & F.coalesce(F.col("toxic") == 0, F.lit(False))
+    bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    each = labels.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(good).alias("good"), F.bool_or(bad).alias("bad"))
+    return each.where("good or bad").select("doc_id", F.when(F.col("bad"), 1).otherwise(0).alias("role"))
+
+
+PACKED = "shard int, model int, grams binary, counts binary, n int"
+
+
+def trusted_counts(texts: DataFrame, marked: DataFrame, shards: int) -> DataFrame:
+    """Grams and counts, for each shard and model (2 * role + fold), summed over all blocks. `texts` is (block, row, text), `marked` (block, row, role)."""
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [[], [], [], [], []]
+        at = pc.index_in(left.column("row"), right.column("row").combine_chunks())
+        role = right.column("role").take(at.combine_chunks() if isinstance(at, pa.ChunkedArray) else at) if right.num_rows else None
+        for r in (0, 1) if role is not None else ():
+            keys, counts = distinct(left.filter(pc.fill_null(pc.equal(role, r), False)))
+            for s, i in by_shard(keys, shards):
+                for x, v in zip(out, (s, 2 * r + (left.column("block")[0].as_py() & 1), packed(keys[i], kn.ORDER), packed(counts[i].astype(np.uint32), 4), len(i)), strict=True):
+                    x.append(v)
+        return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.int32())], names=["shard", "model", "grams", "counts", "n"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, counts = None, [], []
+
+        def done() -> pa.RecordBatch:
+            k, c = summed(keys, counts)
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([packed(k, kn.ORDER)], pa.binary()), pa.array([packed(c.astype(np.int64), 8)], pa.binary()), pa.array([len(k)], pa.int32())], ["shard", "model", "grams", "counts", "n"])
+
+        for batch in batches:
+            for s, m, g, c, n in zip(*[batch.column(x).to_pylist() for x in ("shard", "model", "grams", "counts", "n")], strict=True):
+                if at and at != (s, m):
+                    yield done()
+                    keys, counts = [], []
+                at = s, m
+                keys.append(unpacked(g, n, kn.ORDER, np.int64))
+                counts.append(unpacked(c, n, 4, np.uint32).astype(np.int64))
+                if sum(map(len, keys[1:])) > max(1_000_000, len(keys[0])):
+                    k, c = summed(keys, counts)
+                    keys, counts = [k], [c]
+        if at:
+            yield done()
+
+    found = texts.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(count, PACKED)
+    return materialize(in_arrow(found.repartition("shard", "model").sortWithinPartitions("shard", "model"), merge, PACKED), "quality-counts")
+
+
+def statistics(counts: DataFrame) -> dict[int, tuple[dict[int, np.ndarray], np.ndarray]]:
+    """Of each model: its orders' discounts, and its probabilities of order 2. At most 2 ** 16 and 16 numbers a model reach the driver."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m, g, c, n in zip(*[batch.column(x).to_pylist() for x in ("model", "grams", "counts", "n")], strict=True):
+                every = kn.orders(unpacked(g, n, kn.ORDER, np.int64), unpacked(c, n, 8, np.int64))
+                pairs, pair_counts = np.unique(every[3][0] & kn.mask(2), return_counts=True)
+                key = np.concatenate([pairs, *[-(10 * k + np.arange(4)) for k in every]])
+                value = np.concatenate([pair_counts, *[kn.count_of_counts(x[1]) for x in every.values()]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), m), pa.int32()), pa.array(key, pa.int64()), pa.array(value, pa.int64())], ["model", "key", "c"])
+
+    rows = in_arrow(counts.select("model", "grams", "counts", "n"), partial, "model int, key long, c long").groupBy("model", "key").agg(F.sum("c").alias("c"))
+    got: dict[int, dict[int, int]] = {m: {} for m in range(4)}
+    for m, key, c in rows.collect():
+        got[m][key] = c
+    out = {}
+    for m, sums in got.items():
+        d = {k: kn.discounts(np.array([sums.get(-(10 * k + i), 0) for i in range(4)])) for k in range(3, kn.ORDER + 1)}
+        pairs = np.zeros(1 << 16, np.int64)
+        there = [k for k in sums if k >= 0]
+        pairs[there] = [sums[k] for k in there]
+        out[m] = d, kn.low_orders(pairs)
+    return out
+
+
+def gram_bits(texts: DataFrame, counts: DataFrame, shards: int, copies: int) -> DataFrame:
+    """block, grams, bits, n: for each distinct gram of a block, its bits under the other fold's trusted model, and how many more they are than
+    under its distrusted one. A shard's counts are held in `copies` tasks, which share the questions of the blocks."""
+    low = texts.sparkSession.sparkContext.broadcast(statistics(counts))
+
+    def ask(table: pa.Table) -> pa.Table:
+        keys, _ = distinct(table)
+        of = list(by_shard(keys, shards))
+        block = table.column("block")[0].as_py()
+        return pa.table([pa.array([s for s, _ in of], pa.int32()), pa.array(np.full(len(of), 1 - (block & 1)), pa.int32()), pa.array([packed(keys[i], kn.ORDER) for _, i in of], pa.binary()), pa.array([len(i) for _, i in of], pa.int32()), pa.array(np.full(len(of), block), pa.int64())], names=["shard", "model", "grams", "n", "block"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, models = None, {}
+        for batch in batches:
+            out = [], [], [], []
+            for s, copy, m, g, c, n, block in zip(*[batch.column(x).to_pylist() for x in ("shard", "copy", "model", "grams", "counts", "n", "block")], strict=True):
+                if at != (s, copy):
+                    none = np.zeros(0, np.int64)
+                    at, models = (s, copy), {k: kn.Shard(none, none, *low.value[k]) for k in range(4)}
+                grams = unpacked(g, n, kn.ORDER, np.int64)
+                if c is not None:
+                    models[m] = kn.Shard(grams, unpacked(c, n, 8, np.int64), *low.value[m])
+                    continue
+                bits = models[m].bits(grams)
+                both = np.concatenate([bits, bits - models[2 + m].bits(grams)])
+                for x, v in zip(out, (block, g, packed(both, 2), n), strict=True):
+                    x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.int32()), strict=True)], ["block", "grams", "bits", "n"])
+
+    asked = texts.groupBy("block").applyInArrow(ask, "shard int, model int, grams binary, n int, block long")
+    asked = asked.select("shard", F.pmod(F.xxhash64("block"), F.lit(copies)).cast("int").alias("copy"), "model", "grams", F.lit(None).cast("binary").alias("counts"), "n", "block")
+    known = counts.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "model", "grams", "counts", "n", F.lit(None).cast("long").alias("block"))
+    meet = known.unionByName(asked).repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("counts").isNull())
+    return in_arrow(meet, answer, "block long, grams binary, bits binary, n int")
+
+
+def text_scores(texts: DataFrame, bits: DataFrame) -> DataFrame:
+    """block, row, n_bytes, units (bits in units of 1 / UNIT), most (the stretch's excess bits, in units) of each text."""
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        grams, own, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int16)], [np.zeros(0, np.int16)]
+        for g, b, n in zip(*[right.column(x).to_pylist() for x in ("grams", "bits", "n")], strict=True):
+            grams.append(unpacked(g, n, kn.ORDER, np.int64))
+            both = unpacked(b, 2 * n, 2, np.int16)
+            own.append(both[:n])
+            more.append(both[n:])
+        key, own, more = (np.concatenate(x) for x in (grams, own, more))
+        order = np.argsort(key)
+        key, own, more = key[order], own[order], more[order]
+        place = kn.Lookup(key) if len(key) else None
+        out = [[np.zeros(0, np.int64)] for _ in range(5)]
+        for part in slices(left):
+            data, offsets = bytes_of(part.column("text"))
+            at = place(kn.grams_of(data, offsets)) if len(data) else np.zeros(0, np.int64)
+            for x, v in zip(out, (part.column("block"), part.column("row"), np.diff(offsets), between(own[at], offsets), stretches(more[at], offsets)), strict=True):
+                x.append(v if isinstance(v, np.ndarray) else v.to_numpy(zero_copy_only=False))
+        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["block", "row", "n_bytes", "units", "most"])
+
+    return texts.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(score, "block long, row long, n_bytes long, units long, most long")
+
+
+def between(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def stretches(values: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """The largest sum of `width` neighbours in each text, of all where there are fewer."""
+    out = between(values, offsets)
+    long = np.flatnonzero(np.diff(offsets) > width)
+    if len(long):
+        sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+        window = np.append(sums[width:] - sums[:-width], 0)
+        ends = np.stack([offsets[:-1][long], offsets[1:][long] - width + 1], axis=1).ravel()
+        out[long] = np.maximum.reduceat(window, ends)[::2]
+    return out
 
 
 def thresholds(held: DataFrame, score: str, quantile: float) -> DataFrame:
@@ -155,56 +286,57 @@ def thresholds(held: DataFrame, score: str, quantile: float) -> DataFrame:
     return own.select("lang", F.when(few, F.col("most") + F.greatest("own", "every")).otherwise(F.col("at")).alias("threshold"))
 
 
-def quality_report(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, held_out: int = 4, slack: float = 6.0) -> DataFrame:
-    """One row per row of `docs` (doc_id, text, lang are read): doc_id, lang, n_chars_scored, perplexity, score, threshold, worst, worst_threshold, kept, thash.
+def judged(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.998, slack: float = 6.0) -> tuple[DataFrame, DataFrame, str, str]:
+    """(the rows of `docs` as dealt, a verdict for each, the names of block and row in both)."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_of())), F.lit(0))).first()[0]
+    block, row = free_name(docs, "block"), free_name(docs, "row")
+    table = dealt(docs.withColumn("text", F.col("text").cast("string")), block, row, total)
+    texts = table.select(F.col(block).alias("block"), F.col(row).alias("row"), text_of().alias("text"))
+    heads = table.select(F.col(block).alias("block"), F.col(row).alias("row"), "doc_id")
+    marked = materialize(heads.where("doc_id is not null").join(roles(labels), "doc_id").select("block", "row", "role"), "quality-roles")
+    shards = max(128, min(MOST_SHARDS, total >> 31))
+    counts = trusted_counts(texts, marked, shards)
+    scores = text_scores(texts, gram_bits(texts, counts, shards, copies=max(1, total >> 36)))
+    scores = materialize(scores, "quality-scores")
+    n, bits = F.col("n_bytes"), F.col("units") / kn.UNIT
+    per = F.when(n > 0, bits / n).otherwise(0.0)
+    scores = scores.join(marked.where("role = 0"), ["block", "row"], "left").join(table.select(F.col(block).alias("block"), F.col(row).alias("row"), "doc_id", "lang"), ["block", "row"])
+    scores = scores.select("block", "row", "doc_id", "lang", "n_bytes", "role", F.pow(F.lit(2.0), per).alias("perplexity"), F.round(F.when(n > 0, per - slack / n).otherwise(0.0), PLACES).alias("score"), F.when(n > 0, F.round(F.col("most") / kn.UNIT, PLACES)).alias("worst"))
+    scores = materialize(scores, "quality-scored")
+    held = scores.where("role = 0 and n_bytes > 0")
+    out = lookup(scores, thresholds(held, "score", quantile), ["lang"], F.col("row"))
+    out = lookup(out, thresholds(held, "worst", quantile).withColumnRenamed("threshold", "worst_threshold"), ["lang"], F.col("row"))
+    within = F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)) & F.coalesce(F.col("worst") <= F.col("worst_threshold"), F.lit(True))
+    return table, out.withColumn("kept", (n == 0) | within).drop("role"), block, row
+
 
-    Trusted are documents with a label of quality 1 and toxic 0 and no other label; all of them are used, one in
-    `held_out` (by a hash of doc_id) for the thresholds and the others for the model. `score` is bits per code point less
-    `slack` / n, to PLACES places, so the first words of a short text don't decide. `worst` is bits per letter of the least
-    likely word of letters (null without such words), to PLACES places. A document is kept up to the
-    thresholds that thresholds() draws from its language's held-out scores and worst words (null is a language); all are
-    kept where there are none. Null and empty texts have perplexity 1 and are kept. Repeated rows are judged
-    alike. Null ids are never trusted. An empty table gives no rows.
+def quality_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """One row per row of `docs` (doc_id, text, lang are read): doc_id, lang, n_bytes, perplexity (a byte), score, threshold, worst, worst_threshold, kept.
+
+    Trusted are documents with a label of quality 1 and toxic 0 and no other label, distrusted those with one of quality 0
+    or toxic 1; all of both are counted. `score` is bits per byte less `slack` / n, to PLACES places, so the first words
+    of a short text don't decide. `worst` is by how many bits the stretch of WIDTH bytes that is worst in this is likelier
+    in distrusted than in trusted text. A document is kept up to the thresholds that thresholds() draws from the scores of
+    its language's trusted documents (null is a language); all are kept where there are none. Null and empty texts have
+    perplexity 1 and are kept. Repeated rows are judged alike. Null ids are never trusted. Very long texts are scored
+    whole, each in a block of its own. Other columns don't matter, whatever their names. An empty table gives no rows.
     """
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce(F.col("quality") == 1, F.lit(False)) & F.coalesce(F.col("toxic") == 0, F.lit(False))).alias("good"))
-    good = good.where("good").select(F.col("doc_id").alias("l_id"), F.lit(True).alias("good"))
-    rows = docs.select("doc_id", "lang", "text").withColumn("row", F.monotonically_increasing_id()).withColumn("thash", F.xxhash64(text_of()))
-    counted = materialize(gram_counts(rows, ["row", "doc_id", "lang", "thash"]), "gram-counts")
-    heads = counted.select("row", "doc_id", "lang", "thash", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    heads = heads.join(good, F.col("doc_id") == F.col("l_id"), "left")
-    aside = F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0
-    heads = heads.withColumn("role", F.when(F.col("good") & aside, "held").when(F.col("good"), "train")).select("row", "doc_id", "lang", "thash", "n", "role")
-    heads = materialize(heads, "gram-heads")
-    flat = lambda t: t.select("row", F.explode(F.arrays_zip("grams", "counts")).alias("x")).select("row", F.col("x.grams").alias("gram"), F.col("x.counts").alias("c"))
-    train = counted.join(heads.where("role = 'train'").select("row"), "row", "left_semi")
-    trusted = materialize(flat(train).groupBy("gram").agg(F.sum("c").alias("c")), "trusted")
-    worded = materialize(word_counts(rows, ["row"]), "word-counts")
-    flat_words = lambda t: t.select("row", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
-    train_words = worded.join(heads.where("role = 'train'").select("row"), "row", "left_semi")
-    trusted_words = materialize(flat_words(train_words).groupBy("word").agg(F.sum("c").alias("c")), "trusted-words")
-    spellings = materialize(spelled(worded.select(F.explode("words").alias("word")).distinct()), "spellings")
-    wanted = counted.select(F.explode("grams").alias("gram")).unionByName(spellings.select("gram")).distinct()
-    bits = materialize(gram_log_probabilities(trusted, wanted), "bits")
-    sums = lookup(flat(counted), bits, ["gram"], F.col("row"), how="inner").groupBy("row").agg(F.sum(F.col("c") * F.col("bits")).alias("bits"))
-    by_word = materialize(word_bits(trusted_words, spellings, bits), "word-bits")
-    worst = lookup(worded.select("row", F.explode("words").alias("word")), by_word, ["word"], F.col("row"), how="inner").groupBy("row").agg(F.round(F.max("word_bits"), PLACES).alias("worst"))
-    scored = heads.join(sums, "row", "left").join(worst, "row", "left").withColumn("bits", F.coalesce("bits", F.lit(0.0)))
-    per = F.when(F.col("n") > 0, F.col("bits") / F.col("n")).otherwise(0.0)
-    scored = materialize(scored.withColumn("perplexity", F.pow(F.lit(2.0), per)).withColumn("score", F.round(F.when(F.col("n") > 0, per - slack / F.col("n")).otherwise(0.0), PLACES)), "scored")
-    held = scored.where("role = 'held' and n > 0")
-    out = lookup(scored, thresholds(held, "score", quantile), ["lang"], F.col("row"))
-    out = lookup(out, thresholds(held.where("worst is not null"), "worst", quantile).withColumnRenamed("threshold", "worst_threshold"), ["lang"], F.col("row"))
-    within = F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)) & F.coalesce(F.col("worst") <= F.col("worst_threshold"), F.lit(True))
-    return out.select("doc_id", "lang", F.col("n").alias("n_chars_scored"), "perplexity", "score", "threshold", "worst", "worst_threshold", ((F.col("n") == 0) | within).alias("kept"), "thash")
+    _, verdicts, _, _ = judged(docs.select("doc_id", "lang", "text"), labels, **options)
+    return verdicts.drop("block", "row")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that quality_report() keeps, with all their columns."""
-    gone = quality_report(docs, labels, **options).where("not kept").select(F.col("doc_id").alias("__id"), F.col("thash").alias("__hash"), F.col("lang").alias("__lang")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of()) == F.col("__hash")) & F.col("lang").eqNullSafe(F.col("__lang"))
-    return docs.join(gone, same, "left_anti")
+    """The rows of `docs` that quality_report() keeps, with all their columns; verdicts go to the blocks, texts don't travel."""
+    table, verdicts, block, row = judged(docs, labels, **options)
+    gone = verdicts.where("not kept").select(F.col("block").alias("g_block"), F.col("row").alias("g_row"))
+
+    def keep(left: pa.Table, right: pa.Table) -> pa.Table:
+        stays = left.filter(pc.invert(pc.is_in(left.column(row), right.column("g_row").combine_chunks()))) if right.num_rows else left
+        return stays.select([c for c in stays.column_names if c not in (block, row)])
+
+    return table.groupBy(block).cogroup(gone.groupBy("g_block")).applyInArrow(keep, table.drop(block, row).schema)
 
 
 def op9_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "lang", "n_chars_scored", F.round("perplexity", 6).alias("perplexity"), "score", F.round("threshold", 6).alias("threshold"), "worst", F.round("worst_threshold", 6).alias("worst_threshold"), "kept")
+    return out.select("doc_id", "lang", "n_bytes", F.round("perplexity", 6).alias("perplexity"), "score", F.round("threshold", 6).alias("threshold"), "worst", F.round("worst_threshold", 6).alias("worst_threshold"), "kept")

@@ -249,20 +249,6 @@ def test_quality_rules(spark):
     assert got[3].n_repeat_words == 48 and got[5].n_dup_lines == 1
 
 
-def test_quality_model_is_a_distribution(spark):
-    """Probabilities of all seen last code points and the unseen share sum to one, for a seen and an unseen context."""
-    counts = Counter()
-    for text in ("abracadabra", "barbara", "aab"):
-        g, c = perplexity.grams_of(text)
-        counts.update(dict(zip(g.tolist(), c.tolist(), strict=True)))
-    trusted = spark.createDataFrame(list(counts.items()), "gram long, c long")
-    letters = sorted({g & perplexity.MASK for g in counts})
-    for x, y in (("a", "b"), ("q", "a"), ("q", "q")):
-        wanted = [(ord(x) << 42) | (ord(y) << 21) | z for z in [*letters, 999]]
-        got = perplexity.gram_log_probabilities(trusted, spark.createDataFrame([(w,) for w in wanted], "gram long")).collect()
-        assert sum(2.0**-r.bits for r in got) == pytest.approx(1.0)
-
-
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     got = queries.QUERIES["op9_quality_perplexity"](spark, d)
