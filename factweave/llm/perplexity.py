@@ -12,24 +12,18 @@ WIDTH bytes that distrusted text explains best against trusted text; a short ins
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
-from .common import free_name, in_arrow, lookup, materialize, read_table, shared_dir, text_of
-from .tokens import steps
+from .blocks import by_shard, dealt, packed, slices, unpacked
+from .common import free_name, in_arrow, lookup, materialize, read_table, text_of
 
-#: Text of a block, in bytes; a longer document is a block of its own.
-BLOCK = 16_000_000
-#: Bytes of text whose grams are held at once.
-STEP = 2_000_000
 #: Bytes of the stretch that a document is also judged by: about two words.
 WIDTH = 16
 #: Scores are kept to so many places, which bounds the values that a quantile is taken over.
@@ -37,33 +31,11 @@ PLACES = 3
 MOST_SHARDS = 4096
 
 
-def packed(values: np.ndarray, size: int) -> bytes:
-    """`size` low bytes of each value, laid out byte by byte and compressed."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1)[:, :size].T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def unpacked(data: bytes, n: int, size: int, kind: type) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
-    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
-    out[:, :size] = planes.T
-    return out.reshape(-1).view(kind)
-
-
 def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
     pair = ((grams >> 8) & 0xFFFF).astype(np.uint64)
     return (((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(shards)).astype(np.int32)
 
 
-def by_shard(grams: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, places of its grams), the grams sorted in each."""
-    of = shard_of(grams, shards)
-    order = np.argsort(of, kind="stable")
-    ends = np.cumsum(np.bincount(of, minlength=shards))
-    for s in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
-        yield s, order[ends[s - 1] if s else 0 : ends[s]]
-
-
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -72,11 +44,6 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return every[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    for batch in table.combine_chunks().to_batches():
-        yield from steps(batch, limit=STEP)
-
-
 def distinct(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(grams, counts) of all texts, sorted."""
     keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -95,33 +62,6 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key[first], np.add.reduceat(count, first) if len(key) else count
 
 
-def dealt(docs: DataFrame, block: str, row: str, total: int) -> DataFrame:
-    """All rows of `docs` with `row`, a number of their own, and `block`, whose last bit is the fold of doc_id; written once, bucketed by block."""
-    fold = free_name(docs, "fold")
-    rows = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(fold, F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)), F.lit(0)).cast("int"))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number, size = TaskContext.get().partitionId() << 32, [0, 0], [0, 0]
-        for batch in batches:
-            for part in steps(batch, limit=STEP):
-                for f in (0, 1):
-                    mine = part.filter(pc.equal(part.column(fold), f))
-                    if not mine.num_rows:
-                        continue
-                    ids = pa.array(np.full(mine.num_rows, task | number[f] << 1 | f))
-                    yield pa.RecordBatch.from_arrays([*[mine.column(c) for c in mine.schema.names if c != fold], ids], [*[c for c in mine.schema.names if c != fold], block])
-                    size[f] += pc.sum(pc.binary_length(mine.column("text"))).as_py() or 0
-                    if size[f] >= BLOCK:
-                        number[f], size[f] = number[f] + 1, 0
-
-    schema = rows.drop(fold).withColumn(block, F.lit(0).cast("long")).schema
-    name = f"quality_blocks_{uuid.uuid4().hex}"
-    buckets = max(16, min(50_000, total // (4 * BLOCK)))
-    out = in_arrow(rows, deal, schema)
-    out.write.bucketBy(buckets, block).sortBy(block).option("path", f"{shared_dir(docs.sparkSession)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
-    return docs.sparkSession.table(name)
-
-
 def roles(labels: DataFrame) -> DataFrame:
     """doc_id, role: 0 where all labels of it are quality 1 and toxic 0, 1 where any is quality 0 or toxic 1; others and null ids are left out."""
     good = F.coalesce(F.col("quality") == 1, F.lit(False)) & F.coalesce(F.col("toxic") == 0, F.lit(False))
@@ -142,7 +82,7 @@ def trusted_counts(texts: DataFrame, marked: DataFrame, shards: int) -> DataFram
         role = right.column("role").take(at.combine_chunks() if isinstance(at, pa.ChunkedArray) else at) if right.num_rows else None
         for r in (0, 1) if role is not None else ():
             keys, counts = distinct(left.filter(pc.fill_null(pc.equal(role, r), False)))
-            for s, i in by_shard(keys, shards):
+            for s, i in by_shard(shard_of(keys, shards), shards):
                 for x, v in zip(out, (s, 2 * r + (left.column("block")[0].as_py() & 1), packed(keys[i], kn.ORDER), packed(counts[i].astype(np.uint32), 4), len(i)), strict=True):
                     x.append(v)
         return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.int32())], names=["shard", "model", "grams", "counts", "n"])
@@ -205,7 +145,7 @@ def gram_bits(texts: DataFrame, counts: DataFrame, shards: int, copies: int) ->
 
     def ask(table: pa.Table) -> pa.Table:
         keys, _ = distinct(table)
-        of = list(by_shard(keys, shards))
+        of = list(by_shard(shard_of(keys, shards), shards))
         block = table.column("block")[0].as_py()
         return pa.table([pa.array([s for s, _ in of], pa.int32()), pa.array(np.full(len(of), 1 - (block & 1)), pa.int32()), pa.array([packed(keys[i], kn.ORDER) for _, i in of], pa.binary()), pa.array([len(i) for _, i in of], pa.int32()), pa.array(np.full(len(of), block), pa.int64())], names=["shard", "model", "grams", "n", "block"])
 
@@ -290,7 +230,8 @@ def judged(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.998, slack
     """(the rows of `docs` as dealt, a verdict for each, the names of block and row in both)."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_of())), F.lit(0))).first()[0]
     block, row = free_name(docs, "block"), free_name(docs, "row")
-    table = dealt(docs.withColumn("text", F.col("text").cast("string")), block, row, total)
+    fold = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)), F.lit(0)).cast("int")
+    table = dealt(docs.withColumn("text", F.col("text").cast("string")), block, row, total, fold)
     texts = table.select(F.col(block).alias("block"), F.col(row).alias("row"), text_of().alias("text"))
     heads = table.select(F.col(block).alias("block"), F.col(row).alias("row"), "doc_id")
     marked = materialize(heads.where("doc_id is not null").join(roles(labels), "doc_id").select("block", "row", "role"), "quality-roles")

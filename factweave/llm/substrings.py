@@ -4,6 +4,10 @@ A window is 35 consecutive words; its minimiser is the smallest hash of its 4-wo
 share a minimiser travel as one packed string to its bucket, so a word is sent about three times instead of 35.
 Equal windows have equal minimisers and meet there; a bucket sorts its windows and counts them exactly.
 
+Before any string is sent, blocks of documents ask for their distinct minimisers: shards count the strings of each over
+all blocks, and answer which have more than one. A window whose minimiser has a single string in all documents cannot
+be repeated, but within that string, where it is looked for at home; so unique text stays where it is.
+
 A minimiser with too many strings is hot. Its windows are counted one by one instead, by a combining aggregation over
 their words, and the counts go back to them in salted copies, so that neither a frequent gram nor a passage that a
 third of all documents share fills a task.
@@ -21,16 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_arrow, lookup, read_table
-from .tokens import steps, words
+from .blocks import by_shard, dealt, packed, slices, unpacked
+from .common import in_arrow, lookup, materialize, read_table, text_of
+from .tokens import words
 
 WINDOW = 35
 GRAM = 4
 #: Windows of one string at most, so that a text of one repeated word is cut.
 LONGEST = 256
-#: A bucket of more strings is hot; so is one of over a millionth of all strings, which bounds the list of hot ones.
+#: A bucket of more strings is hot.
 HOT = 20_000
-MOST_HOT = 1_000_000
+MOST_SHARDS = 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,6 +75,7 @@ class Packing:
         self.end = np.cumsum(length + 1) - 1
         self.begin = self.end - length
         self.hash, self.window = (hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)), window
+        self.gram = np.zeros(len(codes), np.uint64)
 
     def strings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, first word in it, windows, minimiser) of each."""
@@ -78,7 +84,9 @@ class Packing:
             a, b = self.starts[doc], self.starts[doc + 1]
             if b - a < self.window:
                 continue
-            low = sliding_min(rolling(self.hash[a:b], GRAM), self.window - GRAM + 1)
+            gram = rolling(self.hash[a:b], GRAM)
+            self.gram[a : a + len(gram)] = gram
+            low = sliding_min(gram, self.window - GRAM + 1)
             first = np.concatenate([[0], np.flatnonzero(np.diff(low)) + 1])
             n = np.diff(np.append(first, len(low)))
             if n.max() > LONGEST:
@@ -88,51 +96,92 @@ class Packing:
             for x, y in zip(out, (np.full(len(first), doc), first, n, low[first]), strict=True):
                 x.append(y)
         if not out[0]:
-            return tuple(np.zeros(0, np.int64) for _ in range(4))
+            return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64))
         return tuple(np.concatenate(x) for x in out)
 
+    def repeats(self, doc: np.ndarray, first: np.ndarray, n: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Whether a string may hold a window twice: then its minimiser stands at two places in it."""
+        if not len(doc):
+            return np.zeros(0, bool)
+        size = n + self.window - GRAM
+        begin = np.cumsum(size) - size
+        at = np.repeat(self.starts[doc] + first - begin, size) + np.arange(size.sum())
+        return np.add.reduceat((self.gram[at] == np.repeat(low, size)).astype(np.int64), begin) > 1
+
     def packed(self, doc: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.Array:
         at = self.starts[doc] + first
         lo, hi = self.begin[at], self.end[at + n + self.window - 2]
         return pa.array([self.joined[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
 
 
-def super_kmers(docs: DataFrame, window: int, hot: list[int] | None) -> DataFrame:
-    """The strings; those of minimisers in `hot` as one string a window."""
-    spread = None if hot is None else docs.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, np.int64)))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in steps(batch, limit=3_000_000):
-                made = Packing(part.column("text"), window)
-                doc, first, n, low = made.strings()
-                low = low.astype(np.uint64).view(np.int64)
-                single = np.isin(low, spread.value) if spread is not None else np.zeros(len(low), bool)
-                times = np.where(single, n, 1)
-                step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                doc, first, low = (np.repeat(x, times) for x in (doc, first, low))
-                first, n = first + step, np.where(np.repeat(single, times), 1, np.repeat(n, times))
-                hot_row = np.repeat(single, times)
-                for at in range(0, len(doc), 50_000):
-                    s = slice(at, at + 50_000)
-                    ids = pa.array(doc[s])
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(ids), part.column("thash").take(ids), pa.array(first[s], pa.int32()), pa.array(n[s], pa.int32()), pa.array(low[s]), pa.array(hot_row[s]), made.packed(doc[s], first[s], n[s])],
-                        ["doc_id", "thash", "start", "n", "minimiser", "hot", "packed"],
-                    )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_arrow(docs, cut, f"doc_id {kind}, thash long, start int, n int, minimiser long, hot boolean, packed binary")
-
-
-def minimisers(docs: DataFrame, window: int) -> DataFrame:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in steps(batch, limit=3_000_000):
-                low, n = np.unique(Packing(part.column("text"), window).strings()[3].astype(np.uint64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(n)], ["minimiser", "n"])
-
-    return in_arrow(docs.select("text"), count, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
+def strings_of(texts: pa.Table, window: int) -> Iterator[tuple[pa.RecordBatch, Packing, tuple[np.ndarray, ...]]]:
+    """Slices of a block's texts with their strings (text, first word, windows, minimiser)."""
+    for part in slices(texts, 3_000_000):
+        made = Packing(part.column("text"), window)
+        doc, first, n, low = made.strings()
+        yield part, made, (doc, first, n, low.astype(np.uint64))
+
+
+def shared_minimisers(texts: DataFrame, window: int, shards: int) -> DataFrame:
+    """block, low, hot, n: a block's minimisers with more than one string in all blocks, packed, and whether they are hot."""
+    most = HOT
+
+    def ask(table: pa.Table) -> pa.Table:
+        low = np.sort(np.concatenate([np.zeros(0, np.uint64), *[x[3] for _, _, x in strings_of(table, window)]]))
+        low, n = np.unique(low, return_counts=True)
+        got = list(by_shard((mixed(low) % np.uint64(shards)).astype(np.int32), shards))
+        return pa.table([
+            pa.array([s for s, _ in got], pa.int32()), pa.array(np.full(len(got), table.column("block")[0].as_py(), np.int64)), pa.array([packed(low[i], 8) for _, i in got], pa.binary()),
+            pa.array([packed(n[i].astype(np.int64), 8) for _, i in got], pa.binary()), pa.array([len(i) for _, i in got], pa.int32()),
+        ], names=["shard", "block", "low", "times", "n"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        n = table.column("n").to_numpy()
+        low = np.concatenate([unpacked(x, k, 8, np.uint64) for x, k in zip(table.column("low").to_pylist(), n.tolist(), strict=True)])
+        times = np.concatenate([unpacked(x, k, 8, np.int64) for x, k in zip(table.column("times").to_pylist(), n.tolist(), strict=True)])
+        _, code = np.unique(low, return_inverse=True)
+        total = np.bincount(code, weights=times)[code]
+        ends, out = np.cumsum(n), [[], [], [], []]
+        for block, a, b in zip(table.column("block").to_pylist(), (ends - n).tolist(), ends.tolist(), strict=True):
+            there = np.flatnonzero(total[a:b] > 1) + a
+            for x, v in zip(out, (block, packed(low[there], 8), packed((total[there] > most).astype(np.uint8), 1), len(there)), strict=True):
+                x.append(v)
+        return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["block", "low", "hot", "n"]).filter(pc.greater(pa.array(out[3]), 0))
+
+    asked = texts.groupBy("block").applyInArrow(ask, "shard int, block long, low binary, times binary, n int")
+    return materialize(asked.groupBy("shard").applyInArrow(answer, "block long, low binary, hot binary, n int"), "minimisers")
+
+
+def super_kmers(texts: DataFrame, shared: DataFrame, window: int) -> DataFrame:
+    """The strings of shared minimisers, and those that repeat a gram within; those of hot minimisers as one string a window."""
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = list(zip(*[right.column(c).to_pylist() for c in ("low", "hot", "n")], strict=True))
+        known = np.concatenate([np.zeros(0, np.uint64), *[unpacked(x, k, 8, np.uint64) for x, _, k in parts]])
+        hot = np.concatenate([np.zeros(0, np.uint8), *[unpacked(x, k, 1, np.uint8) for _, x, k in parts]]).astype(bool)
+        order = np.argsort(known)
+        known, hot = known[order], hot[order]
+        out = []
+        for part, made, (doc, first, n, low) in strings_of(left, window):
+            at = np.minimum(np.searchsorted(known, low), max(len(known) - 1, 0))
+            there = known[at] == low if len(known) else np.zeros(len(low), bool)
+            single = np.where(there, hot[at], False) if len(known) else there
+            goes = there.copy()
+            goes[~there] = made.repeats(doc[~there], first[~there], n[~there], low[~there])
+            doc, first, n, low, single = (x[goes] for x in (doc, first, n, low, single))
+            times = np.where(single, n, 1)
+            step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            doc, first, low = (np.repeat(x, times) for x in (doc, first, low))
+            single = np.repeat(single, times)
+            first, n = first + step, np.where(single, 1, np.repeat(n, times))
+            ids = pa.array(doc)
+            out.append(pa.table(
+                [part.column("block").take(ids), part.column("row").take(ids), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(low.view(np.int64)), pa.array(single), made.packed(doc, first, n)],
+                names=["block", "row", "start", "n", "minimiser", "hot", "packed"],
+            ))
+        return pa.concat_tables(out)
+
+    return texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(cut, "block long, row long, start int, n int, minimiser long, hot boolean, packed binary")
 
 
 def repeated_in(packed: pa.Array, n: np.ndarray, window: int) -> np.ndarray:
@@ -179,8 +228,8 @@ def ranges_in_order(window: int):
                 end = np.append(np.flatnonzero(new)[1:] - 1, len(i) - 1)
                 row, lo, hi = of[i[new]], first[of[i[new]]] + step[i[new]], first[of[i[end]]] + step[i[end]] + window
                 ids = pa.array(row)
-                got = [rows["doc_id"].take(ids), rows["thash"].take(ids), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())]
-                yield from pa.table(got, names=["doc_id", "thash", "lo", "hi"]).combine_chunks().to_batches()
+                got = [rows["block"].take(ids), rows["row"].take(ids), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())]
+                yield from pa.table(got, names=["block", "row", "lo", "hi"]).combine_chunks().to_batches()
 
         for batch in batches:
             if not batch.num_rows:
@@ -200,21 +249,26 @@ def ranges_in_order(window: int):
     return run
 
 
-def repeated_ranges(rows: DataFrame, window: int) -> DataFrame:
-    """doc_id, thash, lo, hi: words that windows cover whose words start elsewhere too."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    counts = minimisers(rows, window)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = [r[0] for r in counts.where(F.col("n") > max(HOT, total // MOST_HOT)).select("minimiser").collect()]  # at most MOST_HOT
-    strings = super_kmers(rows, window, hot)
+def repeated_ranges(texts: DataFrame, window: int, shards: int) -> DataFrame:
+    """block, row, lo, hi: words that windows cover whose words start elsewhere too. `texts` is (block, row, text), dealt by block."""
+    shared = shared_minimisers(texts, window, shards)
+    strings = super_kmers(texts, shared, window)
+    any_hot = in_arrow(shared.select("hot", "n"), hot_ones, "hot boolean").where("hot").limit(1).count() > 0
+    if any_hot:  # their windows are used twice more
+        strings = materialize(strings, "strings")
     cool = strings.where("not hot").drop("hot").repartition("minimiser").sortWithinPartitions("minimiser")
-    found = in_arrow(cool, ranges_in_order(window), f"doc_id {kind}, thash long, lo int, hi int")
-    if not hot:
+    found = in_arrow(cool, ranges_in_order(window), "block long, row long, lo int, hi int")
+    if not any_hot:
         return found
-    single = strings.where("hot").select("doc_id", "thash", F.col("start").alias("lo"), "packed")
-    often = single.groupBy("packed").agg(F.count("*").alias("times")).where("times > 1").select("packed")
-    back = lookup(single, often.withColumn("often", F.lit(True)), ["packed"], F.struct("doc_id", "lo"), how="inner")
-    return found.unionByName(back.select("doc_id", "thash", "lo", (F.col("lo") + window).cast("int").alias("hi")))
+    single = strings.where("hot").select("block", "row", F.col("start").alias("lo"), "packed")
+    often = materialize(single.groupBy("packed").agg(F.count("*").alias("times")).where("times > 1").select("packed", F.lit(True).alias("often")), "hot-windows")
+    back = lookup(single, often, ["packed"], F.struct("row", "lo"), how="inner")
+    return found.unionByName(back.select("block", "row", "lo", (F.col("lo") + window).cast("int").alias("hi")))
+
+
+def hot_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([bool(unpacked(x, n, 1, np.uint8).any()) for x, n in zip(batch.column("hot").to_pylist(), batch.column("n").to_pylist(), strict=True)], pa.bool_())], ["hot"])
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
@@ -222,33 +276,38 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
 
     Null and empty texts have no words. Rows repeated under one doc_id repeat all of their windows, so a row of 35 words or
     more loses all of them in every copy, like copies under other ids; null ids are one id. Texts shorter than the window
-    are untouched. An empty table gives no rows.
+    are untouched. Very long texts are cut up whole, each in a block of its own. Other columns don't matter, whatever
+    their names. An empty table gives no rows.
     """
     if window < GRAM:
         raise ValueError(f"window: at least {GRAM}")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("thash", F.xxhash64("text"))
-    spans = repeated_ranges(rows, window).groupBy("doc_id", "thash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("r_id"), F.col("thash").alias("r_hash"), "spans")
-    joined = rows.join(spans, (F.col("thash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_id")), "left").select("doc_id", "text", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in steps(batch):
-                total, removed, kept = [], [], []
-                for text, lo, hi in zip(*[part.column(c).to_pylist() for c in ("text", "lo", "hi")], strict=True):
-                    every = text.encode().split()
-                    mask = np.zeros(len(every) + 1, np.int64)
-                    if lo:
-                        np.add.at(mask, lo, 1)
-                        np.add.at(mask, hi, -1)
-                    stays = np.cumsum(mask[:-1]) == 0
-                    total.append(len(every))
-                    removed.append(int(len(every) - stays.sum()))
-                    kept.append(b" ".join(every if not lo else [w for w, s in zip(every, stays.tolist(), strict=True) if s]).decode())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
-
-    return in_arrow(joined, clean, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_text string")
+    text = text_of()
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    table = dealt(docs.select("doc_id", text.alias("text")), "block", "row", total)
+    spans = repeated_ranges(table.select("block", "row", "text"), window, max(128, min(MOST_SHARDS, total >> 25)))
+    kind = docs.schema["doc_id"].dataType
+
+    def clean(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = pc.sort_indices(right, [("row", "ascending")])
+        span_row, lo, hi = (right.column(c).take(order).to_numpy() for c in ("row", "lo", "hi"))
+        total, removed, kept, ids = [], [], [], []
+        for part in slices(left):
+            rows = part.column("row").to_numpy()
+            ends = np.searchsorted(span_row, rows, "left"), np.searchsorted(span_row, rows, "right")
+            ids.append(part.column("doc_id"))
+            for text, a, b in zip(part.column("text").to_pylist(), *[x.tolist() for x in ends], strict=True):
+                every = text.encode().split()
+                mask = np.zeros(len(every) + 1, np.int64)
+                if b > a:
+                    np.add.at(mask, lo[a:b], 1)
+                    np.add.at(mask, hi[a:b], -1)
+                stays = np.cumsum(mask[:-1]) == 0
+                total.append(len(every))
+                removed.append(int(len(every) - stays.sum()))
+                kept.append(b" ".join(every if b == a else [w for w, s in zip(every, stays.tolist(), strict=True) if s]).decode())
+        return pa.table([pa.chunked_array(ids), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+
+    return table.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(clean, f"doc_id {kind.simpleString()}, n_words long, n_removed long, kept_text string")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factweave.llm import blocks, perplexity
 from factweave.llm import kneser_ney as kn
-from factweave.llm import perplexity
 
 SCHEMA = "doc_id long, text string, lang string, block string, row int, fold int, g_row long"
 
@@ -62,8 +62,8 @@ def given():
 
 
 def test_report_equals_plain_python(spark, monkeypatch):
-    monkeypatch.setattr(perplexity, "BLOCK", 2_000)
-    monkeypatch.setattr(perplexity, "STEP", 700)
+    monkeypatch.setattr(blocks, "BLOCK", 2_000)
+    monkeypatch.setattr(blocks, "STEP", 700)
     rows = given()
     docs = spark.createDataFrame([(i, t, lang, "b", 1, 2, 3) for i, t, lang in rows], SCHEMA).repartition(3)
     labels = [(i, 1, 0) for i in range(100)] + [(200 + i, 1, 1) for i in range(20)] + [(7, 0, 0), (None, 1, 0)]
@@ -115,6 +115,6 @@ def test_lookup_and_packing():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 1 << 48, 5_000))
     assert (keys[kn.Lookup(keys)(asked := rng.choice(keys, 9_000))] == asked).all()
-    assert (perplexity.unpacked(perplexity.packed(keys, 6), len(keys), 6, np.int64) == keys).all()
+    assert (blocks.unpacked(blocks.packed(keys, 6), len(keys), 6, np.int64) == keys).all()
     signed = rng.integers(-30_000, 30_000, 100).astype(np.int16)
-    assert (perplexity.unpacked(perplexity.packed(signed, 2), 100, 2, np.int16) == signed).all()
+    assert (blocks.unpacked(blocks.packed(signed, 2), 100, 2, np.int16) == signed).all()
