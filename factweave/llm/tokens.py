@@ -1,14 +1,15 @@
 """Encoding documents with a public tokenizer, and operator 7, the exact length histogram.
 
-White space is dropped by the vocabularies meant here (BPE with word ends), so a text's ids are those of its words
+Where a vocabulary drops white space and splits as is checked here (BPE with word ends), a text's ids are those of its words
 one after the other. A batch's distinct words are encoded once and kept in a bounded cache per worker; the ids of
-documents are gathered with numpy.
+documents are gathered with numpy. Any other tokenizer is given whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,49 +60,95 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return distinct, codes, starts.astype(np.int64)
 
 
-class WordIds:
-    """Ids of words as little-endian unsigned 32-bit bytes."""
+#: How a vocabulary must normalise and split for its words to be encoded one by one.
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
-    def __init__(self, json_text: str, most: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known, self.most = Tokenizer.from_str(json_text), {}, most
 
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.known) + len(missing) > self.most:
-            self.known.clear()
-        for at in range(0, len(missing), 5_000):
-            part = missing[at : at + 5_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.asarray(got.ids, "<u4").tobytes()
+class TextIds:
+    """Ids of whole texts, for any tokenizer."""
 
-    def _get(self, items: list[str]) -> list[bytes]:
-        self._learn([x for x in dict.fromkeys(items) if x not in self.known])
-        if any(x not in self.known for x in items):  # the cache was cleared for the new ones
-            self._learn([x for x in dict.fromkeys(items) if x not in self.known])
-        return [self.known[x] for x in items]
+    def __init__(self, json_text: str):
+        from tokenizers import Tokenizer
 
-    def __call__(self, distinct: pa.Array) -> list[bytes]:
+        self.tokenizer = Tokenizer.from_str(json_text)
+
+    def encode(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, the number of ids of each)."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(items), 5_000):
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(items[at : at + 5_000], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter((i for x in got for i in x), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of ids of each part, the number of each part in turn, where each text's parts start and the last end)."""
+        ids, sizes = self.encode(pc.fill_null(texts, "").to_pylist())
+        return ids, sizes, np.arange(len(sizes)), np.arange(len(sizes) + 1)
+
+
+class WordIds(TextIds):
+    """Ids of words. Those of words met before are kept, in arrays of about `most` bytes, of which the older half goes when they are full."""
+
+    def __init__(self, json_text: str, most: int = 80_000_000):
+        super().__init__(json_text)
+        self.most = most
+        self.known, self.ids, self.ends = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def places(self, items: pa.Array) -> np.ndarray:
+        """Where each of `items` (distinct) is kept."""
+        if self.known.nbytes + self.ids.nbytes + self.ends.nbytes > self.most:
+            half = len(self.known) // 2
+            self.known, self.ids, self.ends = pa.concat_arrays([self.known[half:]]), self.ids[self.ends[half] :].copy(), self.ends[half:] - self.ends[half]
+        at = pc.index_in(items, value_set=self.known)
+        new = items.filter(pc.is_null(at))
+        if len(new):
+            ids, sizes = self.encode(new.to_pylist())
+            at = pc.replace_with_mask(at, pc.is_null(at), pa.array(np.arange(len(new)) + len(self.known), pa.int32()))
+            self.known, self.ids = pa.concat_arrays([self.known, new]), np.concatenate([self.ids, ids])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        return at.to_numpy(zero_copy_only=False)
+
+    def of(self, items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(where the ids of each of `items` start among all that are kept, how many they are)."""
+        coded = items.dictionary_encode()
+        at = self.places(coded.dictionary)[coded.indices.to_numpy()]
+        return self.ends[at], self.ends[at + 1] - self.ends[at]
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Lower-casing A-Z and parting final punctuation first makes fewer words and changes no id: the vocabulary lower-cases, and never
         joins a letter or digit with what follows it here. Words that could hold a special token are left alone."""
+        distinct, codes, starts = words(texts)
         plain = pc.invert(pc.match_substring(distinct, "<|"))
         low = pc.if_else(plain, pc.ascii_lower(distinct), distinct)
         core = pc.ascii_rtrim(low, characters=TRIMMED)
         core = pc.if_else(pc.and_(plain, pc.match_substring_regex(core, PARTED)), core, low)
-        low, core = low.to_pylist(), core.to_pylist()
-        rest = [x[len(y) :] for x, y in zip(low, core, strict=True)]
-        ends = dict(zip(tails := sorted({x for x in rest if x}), self._get(tails), strict=True)) | {"": b""}
-        return [x + ends[y] for x, y in zip(self._get(core), rest, strict=True)]
+        cut = pc.not_equal(pc.binary_length(low), pc.binary_length(core))
+        parted = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        ends = [x[len(y) :] for x, y in zip(low.filter(cut).to_pylist(), core.filter(cut).to_pylist(), strict=True)]
+        parts = pa.concat_arrays([core, pa.array(ends, pa.large_string())])
+        begin, size = self.of(parts)
+        # a word's ids are those of its core, then those of its end
+        word = np.concatenate([np.arange(len(core)), parted])
+        order = np.argsort(word, kind="stable")
+        begin, size = begin[order], size[order]
+        sizes = np.bincount(word[order], weights=size, minlength=len(core)).astype(np.int64)
+        at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+        return self.ids[at], sizes, codes, starts
 
 
-_loaded: dict[int, WordIds] = {}
+_loaded: dict[int, TextIds] = {}
 
 
-def word_ids(json_text: str) -> WordIds:
-    """One for each vocabulary in a worker, kept from task to task."""
+def word_ids(json_text: str) -> TextIds:
+    """One for each vocabulary in a worker, kept from task to task. Words are encoded one by one only where the vocabulary splits as NORMAL and SPLIT say."""
     key = zlib.crc32(json_text.encode())
     if key not in _loaded:
-        _loaded[key] = WordIds(json_text)
+        read = json.loads(json_text)
+        first = ((read.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        by_word = read.get("normalizer") == NORMAL and first.get("pattern") == {"Regex": SPLIT} and read["model"].get("end_of_word_suffix") == "</w>"
+        _loaded[key] = (WordIds if by_word else TextIds)(json_text)
     return _loaded[key]
 
 
@@ -111,19 +158,15 @@ def vocabulary(spark: SparkSession, path: str | None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def lengths(texts: pa.Array, encode: Callable) -> np.ndarray:
-    distinct, codes, starts = words(texts)
-    sizes = np.fromiter(map(len, encode(distinct)), np.int64, len(distinct)) // 4
+def lengths(texts: pa.Array, encode: TextIds) -> np.ndarray:
+    _, sizes, codes, starts = encode.texts(texts)
     return np.diff(np.concatenate([[0], np.cumsum(sizes[codes])])[starts])
 
 
-def encoded(texts: pa.Array, encode: Callable) -> tuple[np.ndarray, np.ndarray]:
+def encoded(texts: pa.Array, encode: TextIds) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, each ended by END; where each text's ids start and the last end)."""
-    distinct, codes, starts = words(texts)
-    parts = encode(distinct)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    flat = np.frombuffer(b"".join(parts), "<u4")
-    first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    flat, sizes, codes, starts = encode.texts(texts)
+    first = np.cumsum(sizes) - sizes
     each = sizes[codes]
     ends = np.concatenate([[0], np.cumsum(each)])
     at = np.arange(ends[-1]) + np.repeat(first[codes] - ends[:-1], each)
