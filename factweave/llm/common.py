@@ -52,6 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     made = spark.sparkContext.getCheckpointDir()
     if not made:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir: set it to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         made = spark.sparkContext.getCheckpointDir()
     return made
@@ -77,18 +79,29 @@ def salt_of(column: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
 
 
-def lookup(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, *, how: str = "left", bound: int = 20_000, salts: int = 32) -> DataFrame:
+def salts_in(seen: str, salts: int) -> Column:
+    """The numbers of the bits that are set in the long column `seen`."""
+    return F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: F.call_function("bit_get", F.col(seen), s) == 1)
+
+
+def lookup(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, *, how: str = "left", bound: int = 20_000, most_bytes: int = 32_000_000, salts: int = 32) -> DataFrame:
     """Joins `small` (one row a key) to `big` without letting a hot key of `big` fill one task.
 
-    `small` is counted first: up to `bound` rows it is broadcast; beyond, each of its rows is repeated `salts`
-    times and the rows of `big` choose a copy by `spread`. Null keys match null keys.
+    `small` is measured first: up to `bound` rows and `most_bytes` it is broadcast; beyond, each of its rows is repeated
+    `salts` times and the rows of `big` choose a copy by `spread`. Null keys match null keys. Both ways give the columns
+    of `big`, then those of `small` but the keys.
     """
-    right = small.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in small.columns if c not in keys])
+    used, names = big, {}
+    for k in [*keys, "salt", "copy"]:
+        names[k] = free_name(used, f"lookup_{k}")
+        used = used.withColumn(names[k], F.lit(0))
+    right = small.select(*[F.col(k).alias(names[k]) for k in keys], *[c for c in small.columns if c not in keys])
     same = F.lit(True)
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    if small.limit(bound + 1).count() <= bound:
-        return big.join(F.broadcast(right), same, how).drop(*[f"__r_{k}" for k in keys])
-    right = right.withColumn("__r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = big.withColumn("__salt", salt_of(spread, salts))
-    return left.join(right, same & (F.col("__salt") == F.col("__r_salt")), how).drop("__salt", "__r_salt", *[f"__r_{k}" for k in keys])
+        same = same & F.col(k).eqNullSafe(F.col(names[k]))
+    rows, size = small.limit(bound + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*small.columns)))), F.lit(0))).first()
+    if rows <= bound and size <= most_bytes:
+        return big.join(F.broadcast(right), same, how).drop(*[names[k] for k in keys])
+    right = right.withColumn(names["copy"], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = big.withColumn(names["salt"], salt_of(spread, salts))
+    return left.join(right, same & (F.col(names["salt"]) == F.col(names["copy"])), how).drop(names["salt"], names["copy"], *[names[k] for k in keys])

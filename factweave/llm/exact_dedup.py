@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, salt_of, text_of
+from .common import free_name, lower_ascii, materialize, salt_of, salts_in, text_of
 
 
 def sha256(text: Column) -> Column:
@@ -42,8 +42,8 @@ def dedup_report(docs: DataFrame, *, salts: int = 48, digest=sha256) -> DataFram
     )
     by_salt = winners.where("n_texts = 1").select(
         F.col("digest").alias("w_digest"), "keep_id", "group_size",
-        F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: F.get(F.array(*[F.expr(f"shiftright(seen, {i}) & 1") for i in range(salts)]), s) == 1)).alias("w_salt"),
-    )
+        F.explode(salts_in("seen", salts)).alias("w_salt"),
+    )
     keys = rows.select("doc_id", "digest", "salt")
     out = keys.join(by_salt, (F.col("digest") == F.col("w_digest")) & (F.col("salt") == F.col("w_salt")))
     out = out.select("doc_id", "keep_id", "group_size", "digest")
@@ -59,10 +59,11 @@ def dedup_report(docs: DataFrame, *, salts: int = 48, digest=sha256) -> DataFram
 
 def exact_dedup(docs: DataFrame, **options) -> DataFrame:
     """One row of each text, with all its columns: that of the largest doc_id, null before all others, ties by row."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "exact-rows")
-    keyed = rows.select(F.struct("doc_id", "__row").alias("doc_id"), "text")  # a null id in a struct is less than all others
-    kept = dedup_report(keyed, **options).where("kept").select(F.col("doc_id")["__row"].alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    row = free_name(docs, "row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "exact-rows")
+    keyed = rows.select(F.struct("doc_id", F.col(row).alias("row")).alias("doc_id"), "text")  # a null id in a struct is less than all others
+    kept = dedup_report(keyed, **options).where("kept").select(F.col("doc_id")["row"].alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

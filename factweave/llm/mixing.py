@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hex_to_long, lookup, materialize, read_table, text_of
+from .common import free_name, hex_to_long, lookup, materialize, read_table, text_of
 
 #: A mean above this is drawn as a sum of equal parts, as exp(-mean) must not underflow.
 LARGEST_PART = 500.0
@@ -62,13 +62,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, power: floa
     rates = source_rates(docs, weights, power=power, scale=scale)
     parts = F.greatest(F.ceil(F.col("rate") / LARGEST_PART), F.lit(1)).cast("int")
     rates = materialize(rates.withColumn("parts", parts).select("source", "rate", "parts", poisson_table(F.col("rate") / F.col("parts")).alias("table")), "mix-rates")
-    rates = rates.select("source", *[F.col(c).alias(f"__{c}") for c in ("rate", "parts", "table")])
-    rows = lookup(docs.drop("mix_copy", "mix_copies", "mix_rate", "mix_key"), rates, ["source"], F.col("doc_id"), how="inner")
+    docs = docs.drop("mix_copy", "mix_copies", "mix_rate", "mix_key")
+    table = free_name(docs, "poisson")
+    rates = rates.select("source", F.struct("rate", "parts", "table").alias(table))
+    rows = lookup(docs, rates, ["source"], F.col("doc_id"), how="inner")
     # the hash is taken once a part, not once an entry of the table
-    drawn = F.transform(F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda k: uniform(F.lit(seed), F.col("doc_id"), k)), lambda u: F.size(F.filter(F.col("__table"), lambda c: c <= u)))
+    drawn = F.transform(F.transform(F.sequence(F.lit(1), F.col(table)["parts"]), lambda k: uniform(F.lit(seed), F.col("doc_id"), k)), lambda u: F.size(F.filter(F.col(table)["table"], lambda c: c <= u)))
     copies = F.aggregate(drawn, F.lit(0), lambda a, x: a + x)
     rows = rows.withColumn("mix_copies", copies).where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    rows = rows.withColumn("mix_rate", F.col("__rate")).drop("__rate", "__parts", "__table")
+    rows = rows.withColumn("mix_rate", F.col(table)["rate"]).drop(table)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string"), F.lit("order")).cast("binary"))
     return rows.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")
 

@@ -19,8 +19,8 @@ BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms
 
 
 def base_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep` columns, __text, __lines and the counts of the base rules."""
-    rows = docs.select(*keep, text_of().alias("__text")).withColumn("__words", words_of(F.col("__text")))
+    """__keep (a struct of `keep`), __text, __lines and the counts of the base rules."""
+    rows = docs.select(F.struct(*keep).alias("__keep"), text_of().alias("__text")).withColumn("__words", words_of(F.col("__text")))
     rows = rows.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     rows = rows.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
     windows = F.when(
@@ -34,10 +34,17 @@ def base_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
         "__sorted",
         lambda x, k: F.coalesce(x["h"] == F.get(F.col("__sorted"), k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(F.col("__sorted"), k + 1)["h"], F.lit(False)),
     )
-    rows = rows.withColumn("__starts", F.array_sort(F.transform(twice, lambda x: x["i"])))
+    # equal hashes only propose: the windows' words are compared
+    named = F.transform(twice, lambda x: F.struct(F.array_join(F.slice("__words", x["i"] + 1, WINDOW), " ").alias("s"), x["i"].alias("i")))
+    rows = rows.withColumn("__named", F.array_sort(named))
+    equal = F.filter(
+        "__named",
+        lambda x, k: F.coalesce(x["s"] == F.get(F.col("__named"), k - 1)["s"], F.lit(False)) | F.coalesce(x["s"] == F.get(F.col("__named"), k + 1)["s"], F.lit(False)),
+    )
+    rows = rows.withColumn("__starts", F.array_sort(F.transform(equal, lambda x: x["i"])))
     steps = F.transform("__starts", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("__starts"), k + 1) - p, F.lit(WINDOW))))
     return rows.select(
-        *keep, "__text", "__lines",
+        "__keep", "__text", "__lines",
         F.size("__words").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -69,16 +76,20 @@ def clean_lines(docs: DataFrame, *, keep: list[str] | None = None, most_lost: fl
 
     Base: fewer than `fewest_words` words, or over `most_repeated` percent of words in repeated 8-word windows.
     A document whose base holds is kept if its failing lines hold at most `most_lost` of the characters of its lines.
-    Null and empty texts have no words and fail. Repeated rows are judged alike. Windows are compared by 64-bit
-    hashes within one text. An empty table gives no rows.
+    Null and empty texts have no words and fail. Repeated rows are judged alike. Windows are
+    found by 64-bit hashes and compared word for word. Very long texts are judged whole. An empty table gives no rows.
+    `keep` may hold any columns but those added here.
     """
     keep = keep or ["doc_id"]
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "share_lost", "clean_text"]
+    if clash := {k.lower() for k in keep} & set(added):
+        raise ValueError(f"keep: {sorted(clash)} are added here")
     rows = base_counts(docs, keep).withColumn("__good", F.filter("__lines", line_is_good))
     total = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     rows = rows.withColumn("__all", total(F.col("__lines"))).withColumn("share_lost", F.when(F.col("__all") > 0, 1 - total(F.col("__good")) / F.col("__all")).otherwise(0.0))
     failed = (F.col("n_words") < fewest_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("share_lost") <= most_lost))
-    return rows.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "share_lost", F.array_join("__good", "\n").alias("clean_text"))
+    return rows.withColumn("clean_text", F.array_join("__good", "\n")).select("__keep.*", *added)
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_arrow, materialize, read_table, salt_of
+from .common import in_arrow, materialize, read_table, salt_of, salts_in
 from .components import stars
 from .tokens import steps, words
 
@@ -187,8 +187,8 @@ def near_groups(docs: DataFrame, *, size: int = 4, key: str = "doc_id", salts: i
     named = classes.join(member.select(F.col("node").alias("fingerprint"), "component"), "fingerprint", "left")
     named = named.select(
         F.col("fingerprint").alias("n_fingerprint"), F.coalesce("component", "rep").alias("component_id"),
-        F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: F.get(F.array(*[F.expr(f"shiftright(seen, {i}) & 1") for i in range(salts)]), s) == 1)).alias("n_salt"),
-    )
+        F.explode(salts_in("seen", salts)).alias("n_salt"),
+    )
     out = rows.join(named, (F.col("fingerprint") == F.col("n_fingerprint")) & (F.col("salt") == F.col("n_salt")))
     return out.select(key, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
