@@ -72,10 +72,12 @@ def widen(old: Interval, new: Interval, thresholds: list[int]) -> Interval:
     )
 
 
-def narrow(old: Interval, new: Interval) -> Interval:
-    """Only infinite bounds are taken from `new`."""
-    both = old.lo.isNotNull() & new.lo.isNotNull()
-    return _strict(both, F.when(old.lo == NEG, new.lo).otherwise(old.lo), F.when(old.hi == POS, new.hi).otherwise(old.hi))
+def narrow(old: Interval, new: Interval, thresholds: list[int] = ()) -> Interval:
+    """Bounds that widening may have set, infinite or at a threshold, are taken from `new`, which must lie in `old` (an error else). Bottom if either is."""
+    wide = lambda bound, end: bound.isin(end, *[int(t) for t in thresholds])
+    checked = F.when(is_bottom(old) | le(new, old), F.lit(True)).otherwise(F.raise_error(F.lit("narrow: the new interval isn't in the old one")).cast("boolean"))
+    lo, hi = F.when(wide(old.lo, NEG), new.lo).otherwise(old.lo), F.when(wide(old.hi, POS), new.hi).otherwise(old.hi)
+    return _strict(checked & old.lo.isNotNull() & new.lo.isNotNull(), lo, hi)
 
 
 def _clamp(value: Column) -> Column:
@@ -88,11 +90,28 @@ def _wide(x: Column) -> Column:
 
 
 def plus(x: Interval, y: Interval) -> Interval:
+    """Sums beyond a long are infinite, and an infinite lower (upper) bound of either makes the sum's infinite, so adding opposite infinities is no error."""
     lo = F.when((x.lo == NEG) | (y.lo == NEG), F.lit(NEG)).otherwise(_clamp(_wide(x.lo) + _wide(y.lo)))
     hi = F.when((x.hi == POS) | (y.hi == POS), F.lit(POS)).otherwise(_clamp(_wide(x.hi) + _wide(y.hi)))
     return _strict(x.lo.isNotNull() & y.lo.isNotNull(), lo, hi)
 
 
+def _quotient(a: Column, b: Column) -> Column:
+    """a / b towards zero; an infinite dividend gives infinity by the signs, whatever the divisor, and an infinite divisor of a finite one 0. `b` isn't 0."""
+    sign = F.signum(a) * F.signum(b)
+    far = F.when(sign > 0, F.lit(POS)).otherwise(F.lit(NEG))
+    whole = F.try_divide(_wide(a), F.when(b != 0, _wide(b)))
+    return F.when(a.isin(NEG, POS), far).when(b.isin(NEG, POS), F.lit(0).cast("long")).otherwise(F.when(whole < 0, F.ceil(whole)).otherwise(F.floor(whole)).cast("long"))
+
+
+def divide(x: Interval, y: Interval) -> Interval:
+    """Quotients towards zero; anything where the divisor may be zero, bottom where either is."""
+    four = [_quotient(a, b) for a in x for b in y]
+    zero = (y.lo <= 0) & (y.hi >= 0)
+    both = x.lo.isNotNull() & y.lo.isNotNull()
+    return _strict(both, F.when(zero, F.lit(NEG)).otherwise(F.least(*four)), F.when(zero, F.lit(POS)).otherwise(F.greatest(*four)))
+
+
 def negate(x: Interval) -> Interval:
     lo = F.when(x.hi == POS, F.lit(NEG)).when(x.hi == NEG, F.lit(POS)).otherwise(F.try_subtract(F.lit(0).cast("long"), x.hi))
     hi = F.when(x.lo == NEG, F.lit(POS)).when(x.lo == POS, F.lit(NEG)).otherwise(F.try_subtract(F.lit(0).cast("long"), x.lo))

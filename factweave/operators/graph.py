@@ -32,18 +32,47 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) for every path of one edge or more, by path doubling."""
-    now = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "closure")
-    size = now.count()
+    """(src, dst) for every path of one edge or more, by path doubling; only pairs that are new to a round are joined, with all others."""
+    now = new = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "closure")
+    then = lambda x, y: x.join(y.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
     for _ in range(ROUNDS):
-        more = now.join(now.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
-        now = cut(now.unionByName(more).distinct(), "closure")
-        before, size = size, now.count()
-        if size == before:
+        new = cut(then(new, now).unionByName(then(now, new)).distinct().join(now, ["src", "dst"], "left_anti"), "closure")
+        if new.isEmpty():
             return now
+        now = now.unionByName(new)
     raise RuntimeError("closure: no fixpoint")
 
 
+def spread(edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """(node, mark columns): the marks of each node and of all that edges lead to from it. Only marks that are new to a node go on, so rows are
+    bounded by nodes times marks and no closure is made. Null nodes have no edges. An empty table of marks gives no rows."""
+    keys = marks.columns
+    links = cut(edges.select("src", F.col("dst").alias("node")).distinct(), "links")
+    found = front = cut(marks.distinct(), "marks")
+    for step in range(1, 1_000_000):
+        new = links.join(front, "node").drop("node").withColumnRenamed("src", "node").select(*keys).distinct()
+        front = cut(new.join(found, keys, "left_anti"), "marks")
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front)
+        if step % 10 == 0:
+            found = cut(found, "found")
+    raise RuntimeError("spread: no fixpoint")
+
+
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """The edges left when those that start or end at a node without further edges that way are taken off until none is: all cycles, and paths between them."""
+    now = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "core")
+    size = now.count()
+    while size:
+        ends = now.join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        now = cut(ends.join(ends.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "core")
+        before, size = size, now.count()
+        if size == before:
+            break
+    return now
+
+
 def distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(node, dist): fewest edges from any of `starts` (node); only new nodes go on in a round."""
     links = cut(edges.select("src", "dst").distinct(), "links")
@@ -83,7 +112,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, scc): the smallest node on a common cycle, itself without one."""
-    paths = closure(edges)
+    paths = closure(cyclic_core(edges))
     back = paths.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     mutual = paths.join(back, ["src", "dst"], "left_semi").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least"))
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import interval as I
 from factweave.operators import graph
-from factweave.sources.events import CALLS_SQL, EVENTS_SQL, calls, points
+from factweave.sources.events import CALLS_SQL, EVENTS_SQL, calls, owned, points
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -80,6 +80,48 @@ def interval_arith(spark, sf_dir):
     return rows.select("pid", "loc", *[c for n, f in (("plus", I.plus), ("minus", I.minus), ("times", I.times)) for c in f(x, y).alias(f"{n}_lo", f"{n}_hi")])
 
 
+_OPEN_SQL = PAIRS_SQL + f", op AS (SELECT pid, loc, CASE WHEN a % 5 = 0 THEN {I.NEG} ELSE a - 100 END AS a, CASE WHEN b % 7 = 0 THEN {I.POS} ELSE b END AS b, c % 9 - 4 AS c, c % 9 - 4 + d % 3 AS d FROM pr WHERE loc <> 3 UNION ALL SELECT pid, loc, NULL, NULL, c, d FROM pr WHERE loc = 3)"
+
+
+def open_pairs(spark, sf_dir) -> tuple[DataFrame, I.Interval, I.Interval]:
+    """pairs() with infinite bounds, divisors of both signs, and bottom at location 3."""
+    rows, _, _ = pairs(spark, sf_dir)
+    there = F.col("loc") != 3
+    a, b = F.when(F.col("a") % 5 == 0, F.lit(I.NEG)).otherwise(F.col("a") - 100), F.when(F.col("b") % 7 == 0, F.lit(I.POS)).otherwise(F.col("b"))
+    low = F.col("c") % 9 - 4
+    rows = rows.select("pid", "loc", F.when(there, a).alias("a"), F.when(there, b).alias("b"), F.when(there, low).otherwise(F.col("c")).alias("c"), F.when(there, low + F.col("d") % 3).otherwise(F.col("d")).alias("d"))
+    return rows, I.interval("a", "b"), I.interval("c", "d")
+
+
+def _over(x: str, y: str) -> str:
+    return f"CASE WHEN {x} = {I.NEG} THEN CASE WHEN {y} > 0 THEN {I.NEG} ELSE {I.POS} END WHEN {x} = {I.POS} THEN CASE WHEN {y} > 0 THEN {I.POS} ELSE {I.NEG} END ELSE {x} // nullif({y}, 0) END"
+
+
+_FOUR = ", ".join(_over(x, y) for x in "ab" for y in "cd")
+
+
+@query(_OPEN_SQL + f""" SELECT pid, loc, CAST(CASE WHEN a IS NULL THEN NULL WHEN c <= 0 AND d >= 0 THEN {I.NEG} ELSE least({_FOUR}) END AS BIGINT) AS lo,
+  CAST(CASE WHEN a IS NULL THEN NULL WHEN c <= 0 AND d >= 0 THEN {I.POS} ELSE greatest({_FOUR}) END AS BIGINT) AS hi FROM op""")
+def interval_divide(spark, sf_dir):
+    """Quotients of intervals with infinite bounds, negative divisors, divisors that may be zero, and bottom."""
+    rows, x, y = open_pairs(spark, sf_dir)
+    return rows.select("pid", "loc", *I.divide(x, y).alias())
+
+
+_PRUNED = {
+    "lt": ("a", f"least(b, d - 1)"), "le": ("a", "least(b, d)"), "gt": ("greatest(a, c + 1)", "b"), "ge": ("greatest(a, c)", "b"), "eq": ("greatest(a, c)", "least(b, d)"),
+    "ne": ("CASE WHEN c = d AND a = c THEN a + 1 ELSE a END", "CASE WHEN c = d AND b = d THEN b - 1 ELSE b END"),
+}
+
+
+@query(_OPEN_SQL + " " + " UNION ALL ".join(f"SELECT pid, loc, '{o}' AS op, {lo} AS lo, {hi} AS hi FROM op WHERE a IS NOT NULL AND {lo} <= {hi}" for o, (lo, hi) in _PRUNED.items()))
+def interval_prune_all(spark, sf_dir):
+    """Every form of pruning, on intervals with infinite bounds and bottom."""
+    rows, x, y = open_pairs(spark, sf_dir)
+    forms = F.array(*[F.struct(F.lit(o).alias("op"), *I.prune(o, x, y).alias()) for o in _PRUNED])
+    return rows.select("pid", "loc", F.explode(forms).alias("p")).select("pid", "loc", "p.op", "p.lo", "p.hi").where("lo is not null")
+
+
 _SURE = {"lt": ("b < c", "a >= d"), "le": ("b <= c", "a > d"), "gt": ("a > d", "b <= c"), "ge": ("a >= d", "b < c"), "eq": ("a = b AND c = d AND a = c", "b < c OR d < a"), "ne": ("b < c OR d < a", "a = b AND c = d AND a = c")}
 
 
@@ -100,10 +142,11 @@ def interval_widen(spark, sf_dir):
 
 
 @query(PAIRS_SQL + f", wd AS (SELECT *, CAST(CASE WHEN c < a THEN {_DOWN} ELSE a END AS BIGINT) AS lo, CAST(CASE WHEN d > b THEN {_UP} ELSE b END AS BIGINT) AS hi FROM pr)"
-       f" SELECT pid, loc, CASE WHEN lo = {I.NEG} THEN c ELSE lo END AS lo, CASE WHEN hi = {I.POS} THEN d ELSE hi END AS hi FROM wd")
+       f" SELECT pid, loc, CASE WHEN lo = {I.NEG} OR lo IN {tuple(THRESHOLDS)} THEN least(a, c) ELSE lo END AS lo, CASE WHEN hi = {I.POS} OR hi IN {tuple(THRESHOLDS)} THEN greatest(b, d) ELSE hi END AS hi FROM wd")
 def interval_narrow(spark, sf_dir):
+    """What widening gained, narrowed again to the join."""
     rows, x, y = pairs(spark, sf_dir)
-    return rows.select("pid", "loc", *I.narrow(I.widen(x, y, THRESHOLDS), y).alias())
+    return rows.select("pid", "loc", *I.narrow(I.widen(x, y, THRESHOLDS), I.join(x, y), THRESHOLDS).alias())
 
 
 @query(PAIRS_SQL + " SELECT pid, loc, a AS lo, least(b, d - 1) AS hi FROM pr WHERE a <= least(b, d - 1)")
@@ -181,13 +224,16 @@ def call_closure(spark, sf_dir):
 
 @query(_CLOSURE_SQL + " SELECT src AS proc FROM tc WHERE src = dst", recursive=True)
 def is_recursive(spark, sf_dir):
-    return graph.closure(calls(spark, sf_dir)).where("src = dst").select(F.col("src").alias("proc"))
+    return graph.closure(graph.cyclic_core(calls(spark, sf_dir))).where("src = dst").select(F.col("src").alias("proc"))
 
 
-@query(" SELECT DISTINCT user_id AS proc FROM ev WHERE user_id NOT IN (SELECT src FROM edges)")
+@query(_CLOSURE_SQL + " SELECT src AS proc FROM tc GROUP BY src HAVING count(*) = 1", recursive=True)
 def leaf_procs(spark, sf_dir):
-    users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("proc")).distinct()
-    return users.join(calls(spark, sf_dir).select(F.col("src").alias("proc")), "proc", "left_anti")
+    """Procedures with exactly one transitive callee: one callee, which calls nothing but itself."""
+    edges = calls(spark, sf_dir)
+    one = edges.groupBy("src").agg(F.min("dst").alias("dst"), F.count("*").alias("n"))
+    last = edges.where("src <> dst").select(F.col("src").alias("dst")).distinct()
+    return one.where("n = 1").join(last, "dst", "left_anti").select(F.col("src").alias("proc")).unionByName(one.where("n = 1 and src = dst").select(F.col("src").alias("proc"))).distinct()
 
 
 _REACH_SQL = ", r AS (SELECT 0::BIGINT AS node UNION SELECT e.dst FROM r JOIN edges e ON r.node = e.src)"
@@ -212,9 +258,10 @@ def scc(spark, sf_dir):
     return graph.strong_components(calls(spark, sf_dir))
 
 
-@query()
+@query(""", w AS (SELECT 0::BIGINT AS node, 0::BIGINT AS dist UNION SELECT e.dst, dist + 1 FROM w JOIN edges e ON node = e.src WHERE dist < (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)))
+ SELECT node, min(dist) AS dist FROM w GROUP BY node""", recursive=True)
 def shortest_path_len(spark, sf_dir):
-    """No SQL: a walk in a cycle never ends under UNION with a growing distance."""
+    """Fewest calls from procedure 0."""
     return graph.distances(calls(spark, sf_dir), spark.range(1).select(F.col("id").alias("node")))
 
 
@@ -231,20 +278,25 @@ def access_proc(spark, sf_dir):
     return accesses(spark, sf_dir).groupBy("pid", "loc", "kind").agg(F.count("*").alias("n"))
 
 
-@query(_ACCESS_SQL + " SELECT loc, min(pid) AS pid FROM (SELECT DISTINCT pid, loc FROM ac WHERE kind IS NOT NULL) GROUP BY loc HAVING count(*) = 1")
+_OWNED_SQL = _ACCESS_SQL + ", oc AS (SELECT * REPLACE (CASE WHEN event_type = 'signup' AND k >= 50 THEN 1000 + user_id ELSE loc END AS loc) FROM ac WHERE kind IS NOT NULL)"
+
+
+@query(_OWNED_SQL + " SELECT loc, min(pid) AS pid FROM (SELECT DISTINCT pid, loc FROM oc) GROUP BY loc HAVING count(*) = 1")
 def access_proc_local(spark, sf_dir):
     """Locations that one procedure alone touches."""
-    return accesses(spark, sf_dir).groupBy("loc").agg(F.min("pid").alias("pid"), F.max("pid").alias("last")).where("pid = last").select("loc", "pid")
+    return owned(accesses(spark, sf_dir)).groupBy("loc").agg(F.min("pid").alias("pid"), F.max("pid").alias("last")).where("pid = last").select("loc", "pid")
 
 
 @query(_CLOSURE_SQL + _ACCESS_SQL + """, own AS (SELECT DISTINCT user_id, loc, kind FROM ac WHERE kind IS NOT NULL), hull AS (SELECT src, dst FROM tc UNION SELECT DISTINCT user_id, user_id FROM ev)
  SELECT DISTINCT src AS proc, loc, kind FROM hull JOIN own ON dst = user_id""", recursive=True)
 def access_reach(spark, sf_dir):
     """What a procedure and all that it calls access."""
-    own = accesses(spark, sf_dir).select("user_id", "loc", "kind").distinct()
-    paths = graph.closure(calls(spark, sf_dir)).where("src <> dst")
-    called = paths.join(own, F.col("dst") == F.col("user_id")).select(F.col("src").alias("proc"), "loc", "kind")
-    return called.unionByName(own.withColumnRenamed("user_id", "proc")).distinct()
+    return reach(spark, sf_dir, accesses(spark, sf_dir))
+
+
+def reach(spark, sf_dir, own: DataFrame) -> DataFrame:
+    found = graph.spread(calls(spark, sf_dir), own.select(F.col("user_id").alias("node"), "loc", "kind"))
+    return found.withColumnRenamed("node", "proc")
 
 
 @query(_ACCESS_SQL + " SELECT pid, loc, min(nid) AS nid FROM ac WHERE kind = 'def' GROUP BY pid, loc HAVING count(*) = 1")
@@ -298,21 +350,19 @@ def alarm_summary(spark, sf_dir):
     return bounds_check(spark, sf_dir).agg(F.count("*").alias("n_queries"), F.count_distinct("pid", "loc").alias("n_points"), n("Proven").alias("n_proven"), n("UnProven").alias("n_unproven"), n("BotAlarm").alias("n_bot"))
 
 
-@query(_ALARMS_SQL + " SELECT pid, loc, count(*) AS n, CASE WHEN bool_or(status = 'UnProven') THEN 'UnProven' WHEN bool_or(status = 'BotAlarm') THEN 'BotAlarm' ELSE 'Proven' END AS status FROM al GROUP BY pid, loc")
+@query(_ALARMS_SQL + " SELECT pid, loc, count(*) AS n, CASE WHEN bool_or(status = 'BotAlarm') THEN 'BotAlarm' WHEN bool_or(status = 'UnProven') THEN 'UnProven' ELSE 'Proven' END AS status FROM al GROUP BY pid, loc")
 def alarm_partition(spark, sf_dir):
-    """Alarms of a location as one, with the worst status."""
+    """Alarms of a location as one: bottom if any is, else unproven if any is."""
     any_of = lambda s: F.bool_or(F.col("status") == s)
-    return bounds_check(spark, sf_dir).groupBy("pid", "loc").agg(F.count("*").alias("n"), F.when(any_of("UnProven"), "UnProven").when(any_of("BotAlarm"), "BotAlarm").otherwise("Proven").alias("status"))
+    return bounds_check(spark, sf_dir).groupBy("pid", "loc").agg(F.count("*").alias("n"), F.when(any_of("BotAlarm"), "BotAlarm").when(any_of("UnProven"), "UnProven").otherwise("Proven").alias("status"))
 
 
 @query(_CLOSURE_SQL + """, src AS (SELECT user_id, loc FROM ev WHERE event_type = 'view' AND v > 250), hull AS (SELECT src, dst FROM tc UNION SELECT DISTINCT user_id, user_id FROM ev)
  SELECT hull.src AS proc, count(DISTINCT user_id * 10 + loc) AS n_sources FROM hull JOIN src ON dst = user_id GROUP BY 1""", recursive=True)
 def taint_sources(spark, sf_dir):
     """How many tainted locations reach a procedure through what it calls."""
-    own = points(spark, sf_dir).where("event_type = 'view' and v > 250").select(F.col("user_id").alias("dst"), (F.col("user_id") * 10 + F.col("loc")).alias("source")).distinct()
-    paths = graph.closure(calls(spark, sf_dir)).where("src <> dst").select(F.col("src").alias("proc"), "dst")
-    all_of = paths.join(own, "dst").select("proc", "source").unionByName(own.select(F.col("dst").alias("proc"), "source"))
-    return all_of.groupBy("proc").agg(F.count_distinct("source").alias("n_sources"))
+    own = points(spark, sf_dir).where("event_type = 'view' and v > 250").select(F.col("user_id").alias("node"), (F.col("user_id") * 10 + F.col("loc")).alias("source"))
+    return graph.spread(calls(spark, sf_dir), own).groupBy(F.col("node").alias("proc")).agg(F.count("*").alias("n_sources"))
 
 
 @query(" SELECT pid, event_type, n, round(n::DOUBLE / max(n) OVER (PARTITION BY event_type), 6) AS share FROM (SELECT pid, event_type, count(*) AS n FROM ev GROUP BY ALL)")

@@ -9,10 +9,10 @@ from factweave.functions import interval as I
 from factweave.operators import graph
 from factweave.operators.ranking import ranked, take_top
 from factweave.plans.catalog import (
-    _ACCESS_SQL, _ALARMS_SQL, _CLOSURE_SQL, ORACLES, PAIRS_SQL, SIZES_SQL, STATES_SQL, _sets, access_proc_local, access_reach, accesses, bounds_check, div_zero_check, pairs, query, sizes, states,
+    _ACCESS_SQL, _ALARMS_SQL, _OWNED_SQL, _CLOSURE_SQL, ORACLES, PAIRS_SQL, SIZES_SQL, STATES_SQL, _sets, access_proc_local, access_reach, accesses, reach, bounds_check, div_zero_check, pairs, query, sizes, states,
 )
 from factweave.sources import store
-from factweave.sources.events import calls, points
+from factweave.sources.events import calls, owned, points
 from factweave.streaming.facts import streamed_states
 
 
@@ -32,11 +32,13 @@ def map_le(spark, sf_dir):
     return rows.groupBy("pid").agg(F.bool_and(I.le(I.interval("lo", "hi"), I.interval("c", "d"))).alias("is_le"))
 
 
-@query(PAIRS_SQL + f""" SELECT pid, loc, CASE WHEN a = {I.NEG} THEN c ELSE a END AS lo, CASE WHEN b = {I.POS} THEN d ELSE b END AS hi FROM pr""")
+@query(PAIRS_SQL + f""", wd AS (SELECT *, CASE WHEN c < a THEN {I.NEG} ELSE a END AS lo, CASE WHEN d > b THEN {I.POS} ELSE b END AS hi FROM pr)
+ SELECT pid, loc, CASE WHEN lo = {I.NEG} THEN greatest(least(a, c), 10) ELSE lo END AS lo, CASE WHEN hi = {I.POS} THEN greatest(b, d) ELSE hi END AS hi FROM wd WHERE greatest(lo, 10) <= hi""")
 def map_narrow(spark, sf_dir):
-    """Keys of both maps, narrowed; finite bounds stay."""
+    """Keys of both maps, widened without thresholds, then narrowed to the join from 10 up; finite bounds stay."""
     rows, x, y = pairs(spark, sf_dir)
-    return rows.select("pid", "loc", *I.narrow(x, y).alias())
+    wide = I.widen(x, y, [])
+    return rows.select("pid", "loc", *I.narrow(wide, I.meet(I.meet(I.join(x, y), wide), I.Interval(F.lit(10).cast("long"), F.lit(I.POS)))).alias()).where("lo is not null")
 
 
 @query(""", x AS (SELECT DISTINCT pid, loc FROM ev WHERE event_type = 'purchase'), y AS (SELECT DISTINCT pid, loc FROM ev WHERE event_type = 'view'), p AS (SELECT DISTINCT pid FROM ev)
@@ -50,10 +52,12 @@ _REACH_SQL = _CLOSURE_SQL + _ACCESS_SQL + """, own AS (SELECT DISTINCT user_id,
  ar AS (SELECT DISTINCT src AS proc, loc, kind FROM hull JOIN own ON dst = user_id)"""
 
 
-@query(_REACH_SQL + " SELECT proc, loc, kind FROM ar WHERE loc NOT IN (SELECT loc FROM own GROUP BY loc HAVING count(DISTINCT user_id) = 1)", recursive=True)
+@query(_CLOSURE_SQL + _OWNED_SQL + """, own AS (SELECT DISTINCT user_id, loc, kind FROM oc), hull AS (SELECT src, dst FROM tc UNION SELECT DISTINCT user_id, user_id FROM ev),
+ ar AS (SELECT DISTINCT src AS proc, loc, kind FROM hull JOIN own ON dst = user_id)
+ SELECT proc, loc, kind FROM ar WHERE loc NOT IN (SELECT loc FROM own GROUP BY loc HAVING count(DISTINCT user_id) = 1)""", recursive=True)
 def access_reach_wo_local(spark, sf_dir):
     """access_reach without the locations that one procedure alone touches."""
-    return access_reach(spark, sf_dir).join(access_proc_local(spark, sf_dir).select("loc"), "loc", "left_anti").select("proc", "loc", "kind")
+    return reach(spark, sf_dir, owned(accesses(spark, sf_dir))).join(access_proc_local(spark, sf_dir).select("loc"), "loc", "left_anti").select("proc", "loc", "kind")
 
 
 @query(_REACH_SQL + """ SELECT 'call' AS edge, e.src, e.dst, loc FROM edges e JOIN ar ON proc = e.dst AND kind = 'use'
@@ -94,7 +98,7 @@ def inspect_alarm(spark, sf_dir):
 @query(_ALARMS_SQL + _CLOSURE_SQL + " SELECT pid, nid, loc, status FROM al WHERE status <> 'Proven' AND pid NOT IN (SELECT 'u' || src FROM tc WHERE src = dst)", recursive=True)
 def alarm_filter_rec(spark, sf_dir):
     """Alarms outside recursive procedures."""
-    recursive = graph.closure(calls(spark, sf_dir)).where("src = dst").select(F.concat(F.lit("u"), "src").alias("pid"))
+    recursive = graph.closure(graph.cyclic_core(calls(spark, sf_dir))).where("src = dst").select(F.concat(F.lit("u"), "src").alias("pid"))
     return bounds_check(spark, sf_dir).where("status <> 'Proven'").join(recursive, "pid", "left_anti").select("pid", "nid", "loc", "status")
 
 

@@ -18,6 +18,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("loc", F.col("k") % 10)
 
 
+def owned(points: DataFrame) -> DataFrame:
+    """The points, with allocations of k >= 50 at locations of their own procedure (1000 + user_id)."""
+    return points.withColumn("loc", F.when((F.col("event_type") == "signup") & (F.col("k") >= 50), 1000 + F.col("user_id")).otherwise(F.col("loc")).cast("long"))
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst: distinct call edges between users. The number of users is one row, joined to all."""
     k = F.get_json_object("props", "$.k").cast("int")
