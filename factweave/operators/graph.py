@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir: set it to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -32,11 +34,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) for every path of one edge or more, by path doubling; only pairs that are new to a round are joined, with all others."""
+    """(src, dst) for every path of one edge or more, by path doubling. Only pairs that are new to a round are joined with all found:
+    a shortest path begins with one of half its length, rounded up to a power of two, which was new in the round before."""
     now = new = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "closure")
-    then = lambda x, y: x.join(y.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
     for _ in range(ROUNDS):
-        new = cut(then(new, now).unionByName(then(now, new)).distinct().join(now, ["src", "dst"], "left_anti"), "closure")
+        on = now.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
+        more = new.join(on, "dst").select("src", F.col("far").alias("dst")).distinct()
+        new = cut(more.join(now, ["src", "dst"], "left_anti"), "closure")
         if new.isEmpty():
             return now
         now = now.unionByName(new)
@@ -61,14 +65,15 @@ def spread(edges: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
-    """The edges left when those that start or end at a node without further edges that way are taken off until none is: all cycles, and paths between them."""
+    """The edges without those that start or end at a node that no edge goes on at, taken off in rounds as long as a round takes a tenth of them:
+    all cycles stay, and what paths lead between or closely around them."""
     now = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "core")
     size = now.count()
     while size:
         ends = now.join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         now = cut(ends.join(ends.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "core")
         before, size = size, now.count()
-        if size == before:
+        if size > 0.9 * before:
             break
     return now
 
@@ -92,22 +97,40 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return distances(edges, starts).select("node")
 
 
+def stars(edges: DataFrame, *, salts: int = 8, most_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of `edges` (long columns a, b) but the roots; a root is its component's smallest node.
+
+    Rounds end when a round changes nothing. A node's smallest neighbour is found by a combining aggregation, and
+    handed to its neighbours in `salts` copies, so a hub doesn't fill a task.
+    """
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    sign = None
+    for _ in range(most_rounds):
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = _to_smallest(both, both.where("b > a"), salts)
+        turned = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+        small = _to_smallest(turned, turned, salts).unionByName(turned.groupBy("a").agg(F.min("b").alias("b")))
+        now = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "stars")
+        found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
+        if found == sign:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        sign = found
+    raise RuntimeError(f"components: no end in {most_rounds} rounds")
+
+
+def _to_smallest(all_edges: DataFrame, moved: DataFrame, salts: int) -> DataFrame:
+    """For each edge (a, b) of `moved`: (b, the smallest of a and a's neighbours)."""
+    least = all_edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
+    least = least.select(F.col("a").alias("l_a"), "least", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("l_salt"))
+    on = (F.col("a") == F.col("l_a")) & (F.col("salt") == F.col("l_salt"))
+    return moved.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")).join(least, on).select(F.col("b").alias("a"), F.col("least").alias("b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that edges connect it to, whichever way they point; labels halve their way by pointer jumps."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
-    both = cut(both, "both")
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    now = cut(nodes.withColumn("component", F.col("node")), "labels")
-    for _ in range(ROUNDS * 16):
-        least = both.join(now.select(F.col("node").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("c"))
-        step = now.join(least, F.col("node") == F.col("src"), "left").select("node", F.least("component", "c").alias("component"))
-        step = cut(step, "labels")
-        jump = step.select(F.col("node").alias("via"), F.col("component").alias("further"))
-        new = cut(step.join(jump, F.col("component") == F.col("via"), "left").select("node", F.least("component", "further").alias("component")), "labels")
-        if new.join(now, ["node", "component"], "left_anti").isEmpty():
-            return new
-        now = new
-    raise RuntimeError("components: no fixpoint")
+    """(node, component): the smallest node that edges connect it to, whichever way they point."""
+    ends = edges.where("src is not null and dst is not null").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    nodes = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).distinct()
+    return nodes.join(stars(ends), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
