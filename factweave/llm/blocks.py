@@ -16,7 +16,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, in_arrow, shared_dir
+from factweave.operators.graph import shared_dir
+
+from .common import free_name, in_arrow
 from .tokens import steps
 
 #: Text of a block, in bytes; a longer document is a block of its own.

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave.operators.graph import cut as materialize  # noqa: F401
 from factweave.session import ship_package
 
 #: Words are maximal runs of anything but space and U+0009..U+000D.
@@ -45,28 +43,6 @@ def hex_to_long(digits: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one made for this session where it is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    made = spark.sparkContext.getCheckpointDir()
-    if not made:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir: set it to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        made = spark.sparkContext.getCheckpointDir()
-    return made
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back: cuts lineage, survives lost executors, fixes what was computed."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores until no column of `df` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factweave.operators.graph import stars
+
 from .common import in_arrow, materialize, read_table, salt_of, salts_in
-from .components import stars
 from .tokens import steps, words
 
 NEAR = 4
