@@ -80,7 +80,7 @@ def interval_arith(spark, sf_dir):
     return rows.select("pid", "loc", *[c for n, f in (("plus", I.plus), ("minus", I.minus), ("times", I.times)) for c in f(x, y).alias(f"{n}_lo", f"{n}_hi")])
 
 
-_OPEN_SQL = PAIRS_SQL + f", op AS (SELECT pid, loc, CASE WHEN a % 5 = 0 THEN {I.NEG} ELSE a - 100 END AS a, CASE WHEN b % 7 = 0 THEN {I.POS} ELSE b END AS b, c % 9 - 4 AS c, c % 9 - 4 + d % 3 AS d FROM pr WHERE loc <> 3 UNION ALL SELECT pid, loc, NULL, NULL, c, d FROM pr WHERE loc = 3)"
+_OPEN_SQL = PAIRS_SQL + f", op AS (SELECT pid, loc, CAST(CASE WHEN a % 5 = 0 THEN {I.NEG} ELSE a - 100 END AS BIGINT) AS a, CAST(CASE WHEN b % 7 = 0 THEN {I.POS} ELSE b END AS BIGINT) AS b, c % 9 - 4 AS c, c % 9 - 4 + d % 3 AS d FROM pr WHERE loc <> 3 UNION ALL SELECT pid, loc, NULL, NULL, c, d FROM pr WHERE loc = 3)"
 
 
 def open_pairs(spark, sf_dir) -> tuple[DataFrame, I.Interval, I.Interval]:

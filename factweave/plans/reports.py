@@ -33,7 +33,7 @@ def map_le(spark, sf_dir):
 
 
 @query(PAIRS_SQL + f""", wd AS (SELECT *, CASE WHEN c < a THEN {I.NEG} ELSE a END AS lo, CASE WHEN d > b THEN {I.POS} ELSE b END AS hi FROM pr)
- SELECT pid, loc, CASE WHEN lo = {I.NEG} THEN greatest(least(a, c), 10) ELSE lo END AS lo, CASE WHEN hi = {I.POS} THEN greatest(b, d) ELSE hi END AS hi FROM wd WHERE greatest(lo, 10) <= hi""")
+ SELECT pid, loc, CAST(CASE WHEN lo = {I.NEG} THEN greatest(least(a, c), 10) ELSE lo END AS BIGINT) AS lo, CAST(CASE WHEN hi = {I.POS} THEN greatest(b, d) ELSE hi END AS BIGINT) AS hi FROM wd WHERE greatest(b, d) >= 10""")
 def map_narrow(spark, sf_dir):
     """Keys of both maps, widened without thresholds, then narrowed to the join from 10 up; finite bounds stay."""
     rows, x, y = pairs(spark, sf_dir)
