@@ -158,3 +158,75 @@ def prune(op: str, x: Interval, y: Interval) -> Interval:
         return _strict(x.lo.isNotNull() & y.lo.isNotNull() & (lo <= hi), lo, hi)
     limit = {"lt": (top[0], below(y.hi, -1)), "le": (top[0], y.hi), "gt": (below(y.lo, 1), top[1]), "ge": (y.lo, top[1])}[op]
     return meet(x, _strict(y.lo.isNotNull(), *limit))
+
+
+def eq(x: Interval, y: Interval) -> Column:
+    """Whether x and y hold the same values; two bottoms do."""
+    return x.lo.eqNullSafe(y.lo) & x.hi.eqNullSafe(y.hi)
+
+
+def _truth(x: Interval) -> tuple[Column, Column]:
+    """Whether x is surely true (without zero) and surely false (only zero)."""
+    return (x.lo > 0) | (x.hi < 0), (x.lo == 0) & (x.hi == 0)
+
+
+def logical_not(x: Interval) -> Interval:
+    true, false = _truth(x)
+    return _strict(x.lo.isNotNull(), F.when(false, 1).otherwise(0).cast("long"), F.when(true, 0).otherwise(1).cast("long"))
+
+
+def logical_and(x: Interval, y: Interval) -> Interval:
+    """[1, 1] if both are surely true, [0, 0] if one is surely false, else [0, 1]; bottom if either is."""
+    (x_true, x_false), (y_true, y_false) = _truth(x), _truth(y)
+    return _strict(x.lo.isNotNull() & y.lo.isNotNull(), F.when(x_true & y_true, 1).otherwise(0).cast("long"), F.when(x_false | y_false, 0).otherwise(1).cast("long"))
+
+
+def logical_or(x: Interval, y: Interval) -> Interval:
+    """[1, 1] if one is surely true, [0, 0] if both are surely false, else [0, 1]; bottom if either is."""
+    (x_true, x_false), (y_true, y_false) = _truth(x), _truth(y)
+    return _strict(x.lo.isNotNull() & y.lo.isNotNull(), F.when(x_true | y_true, 1).otherwise(0).cast("long"), F.when(x_false & y_false, 0).otherwise(1).cast("long"))
+
+
+def shift_left(x: Interval, y: Interval) -> Interval:
+    """Single values shifted (by less than 64 bits, as longs), anything else any value; bottom if either is."""
+    both = x.lo.isNotNull() & y.lo.isNotNull()
+    finite = (x.lo == x.hi) & (y.lo == y.hi) & ~x.lo.isin(NEG, POS) & y.lo.between(0, 63)
+    moved = F.call_function("shiftleft", x.lo, y.lo.cast("int"))
+    return _strict(both, F.when(finite, moved).otherwise(F.lit(NEG)), F.when(finite, moved).otherwise(F.lit(POS)))
+
+
+def absolute(x: Interval) -> Interval:
+    """Absolute values; beyond a long infinite."""
+    y = negate(x)
+    crosses = (x.lo < 0) & (x.hi > 0)
+    lo, hi = F.least(F.abs(F.greatest(x.lo, F.lit(-POS))), F.abs(F.greatest(x.hi, F.lit(-POS)))), F.greatest(x.hi, y.hi)
+    return _strict(x.lo.isNotNull(), F.when(crosses, F.lit(0).cast("long")).otherwise(lo), hi)
+
+
+def height(x: Interval, most: int = 1000) -> Column:
+    """How many values x has, `most` at most."""
+    n = _wide(x.hi) - _wide(x.lo) + 1
+    return F.when(is_bottom(x), 0).when(x.lo.isin(NEG, POS) | x.hi.isin(NEG, POS) | (n > most), most).otherwise(n).cast("long")
+
+
+def spread_of(x: Interval) -> Column:
+    """hi - lo, 0 where a bound is infinite or x is bottom."""
+    endless = x.lo.isin(NEG, POS) | x.hi.isin(NEG, POS)
+    return F.when(is_bottom(x) | endless, 0).otherwise(_clamp(_wide(x.hi) - _wide(x.lo))).cast("long")
+
+
+#: Bytes, whether unsigned, and the highest value of an integer type.
+INTEGERS = {
+    "unsigned char": (1, True, 255), "unsigned short": (2, True, 65535), "unsigned int": (4, True, 4294967295),
+    "char": (1, False, 255), "short": (2, False, 32767), "int": (4, False, 2147483648),
+}
+
+
+def cast(source: str, target: str, x: Interval) -> Interval:
+    """x as `target`, with overflow: any value where the upper bound doesn't fit a narrower type (or a signed one of equal
+    size, from unsigned); absolute values from signed to an unsigned type at least as wide."""
+    (size, unsigned, _), (to_size, to_unsigned, most) = INTEGERS[source], INTEGERS[target]
+    if size < to_size or (size == to_size and not (unsigned and not to_unsigned)):
+        return absolute(x) if to_unsigned and not unsigned else x
+    fits = x.hi <= most
+    return _strict(x.lo.isNotNull(), F.when(fits, x.lo).otherwise(F.lit(NEG)), F.when(fits, x.hi).otherwise(F.lit(POS)))

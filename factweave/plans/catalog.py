@@ -375,7 +375,7 @@ def feature_normalize(spark, sf_dir):
 
 def _all() -> None:
     """Modules that register further queries."""
-    from factweave.plans import reports  # noqa: F401
+    from factweave.plans import lattice, reports  # noqa: F401
 
 
 def queries() -> dict:
