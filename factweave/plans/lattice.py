@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions import interval as I
+from factweave.operators.fixpoint import fixpoint
 from factweave.operators.ranking import ranked
 from factweave.plans.catalog import _ALARMS_SQL, SIZES_SQL, STATES_SQL, THRESHOLDS, bounds_check, query, sizes, states
-from factweave.sources.events import points
+from factweave.sources.events import calls, points
 
 #: Two intervals of small values around zero at each point; the second is bottom at clicks.
 _SMALL_SQL = """, sm AS (SELECT pid, nid, CAST(k % 3 - 1 AS BIGINT) AS a, CAST(k % 3 - 1 + v % 3 AS BIGINT) AS b,
@@ -114,3 +115,14 @@ def alarm_filter_parts(spark, sf_dir):
     """Alarms but those of the global procedure (u0), of allocation sites 3 and 7, and of locations with an offset from outside (over 450), by whole partitions."""
     found = bounds_check(spark, sf_dir).where("status <> 'Proven'")
     return without_parts(found, ["pid", "loc"], F.col("pid") == "u0", F.col("loc").isin(3, 7), F.col("off_lo") > 450).select("pid", "nid", "loc", "status")
+
+
+@query(""", own AS (SELECT user_id AS node, min(v) AS lo, max(v) AS hi FROM ev WHERE event_type = 'purchase' GROUP BY user_id),
+ tc AS (SELECT src, dst FROM edges UNION SELECT tc.src, edges.dst FROM tc JOIN edges ON tc.dst = edges.src),
+ hull AS (SELECT src, dst FROM tc UNION SELECT node, node FROM own)
+ SELECT dst AS node, min(lo) AS lo, max(hi) AS hi FROM hull JOIN own ON own.node = hull.src GROUP BY dst""", recursive=True)
+def flow_insensitive_fixpoint(spark, sf_dir):
+    """Values stored by each procedure or passed on by its callers, to a fixpoint."""
+    start = points(spark, sf_dir).where("event_type = 'purchase'").groupBy(F.col("user_id").alias("node")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    flows = calls(spark, sf_dir).select("src", "dst", F.lit(0).alias("add"), F.lit(I.NEG).alias("from"), F.lit(I.POS).alias("to"))
+    return fixpoint(flows, start, delay=1_000_000, narrowing=0)
