@@ -1,13 +1,17 @@
 """Operator 2: personal data.
 
-Regular expressions propose spans, checksums and ranges confirm them (Luhn for cards, mod-97 for account numbers),
-and words nearby raise or lower the score. Documents are scanned where they are read, with no shuffle.
+Regular expressions propose spans, checksums and ranges confirm them (Luhn for cards, mod-97 for account numbers,
+entropy for secrets), and words nearby raise or lower the score. Documents are scanned where they are read, with no shuffle.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +21,10 @@ from .common import in_arrow, read_table
 from .tokens import steps
 
 #: Kinds in the order that breaks ties of start; the first four are the base.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "national_phone")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "national_phone", "access_key", "secret")
 BASE = KINDS[:4]
+#: Kinds that may overlap base spans, as a secret may hold digits that look like a card.
+SECRETS = KINDS[7:]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 ALPHANUMERIC = CAPITALS | frozenset("abcdefghijklmnopqrstuvwxyz")
@@ -39,11 +45,17 @@ IBAN_LENGTHS = {
 }
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9-])")
+#: Public formats of access keys.
+ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])")
+#: A value given to a name that says secret, confirmed by its entropy.
+ASSIGNED = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\x20?[=:]\x20?[\"']?([^\x00-\x20\"']{8,})")
+LEAST_BITS = 2.5
 #: Score of a confirmed span, and words that raise or lower it when they stand within CONTEXT characters.
-SCORES = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "national_phone": 0.4}
+SCORES = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "national_phone": 0.4, "access_key": 0.9, "secret": 0.9}
 RAISING = {
     "email": ("mail", "contact", "write", "correo"), "ip": ("ip", "address", "host", "server"), "card": ("card", "visa", "credit", "payment", "karte", "tarjeta", "carte"),
     "phone": ("phone", "tel", "call", "mobile", "fax"), "iban": ("iban", "account", "bank", "konto"), "ssn": ("ssn", "social security", "tax id"), "national_phone": ("phone", "tel", "call", "mobile", "fax"),
+    "access_key": ("key", "token", "access"), "secret": ("login", "user", "credentials"),
 }
 LOWERING = ("version", "example", "isbn", "order no", "serial")
 CONTEXT = 40
@@ -84,6 +96,13 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
                 break
 
 
+def random_looking(value: str) -> bool:
+    """Whether a value has letters and digits, and at least LEAST_BITS bits of entropy a character."""
+    if not (re.search("[A-Za-z]", value) and re.search("[0-9]", value)):
+        return False
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values()) >= LEAST_BITS
+
+
 def byte_sized(part: str) -> bool:
     bare = part.lstrip("0")
     return len(bare) <= 3 and int(bare or "0") <= 255
@@ -126,6 +145,12 @@ def proposed(text: str) -> Iterator[tuple[str, int, int]]:
             yield "ssn", m.start(), m.end()
     for m in NATIONAL.finditer(text):
         yield "national_phone", m.start(), m.end()
+    for m in ACCESS_KEY.finditer(text):
+        yield "access_key", m.start(), m.end()
+    for m in ASSIGNED.finditer(text):
+        value = m[1].rstrip(".,;:)]}>")
+        if len(value) >= 8 and random_looking(value):
+            yield "secret", m.start(1), m.start(1) + len(value)
 
 
 def scored(text: str, kind: str, start: int, end: int) -> float:
@@ -136,13 +161,15 @@ def scored(text: str, kind: str, start: int, end: int) -> float:
 
 
 def spans_of(text: str, threshold: float = 0.6) -> list[dict]:
-    """Spans by start, then kind. A base span stays whatever its score; a further one needs `threshold` and must not overlap a base span."""
+    """Spans by start, then kind. A base span stays whatever its score; a further one needs `threshold` and, but for secrets, must not overlap a base span."""
     found = [{"kind": k, "start": a, "end": b, "score": scored(text, k, a, b)} for k, a, b in proposed(text)] if text else []
     base = [x for x in found if x["kind"] in BASE]
-    taken = sorted((x["start"], x["end"]) for x in base)
+    starts = [x["start"] for x in sorted(base, key=lambda x: x["start"])]
+    ends = list(accumulate((x["end"] for x in sorted(base, key=lambda x: x["start"])), max))
     more = []
     for x in found:
-        if x["kind"] not in BASE and x["score"] >= threshold and not any(a < x["end"] and x["start"] < b for a, b in taken):
+        before = bisect_left(starts, x["end"])
+        if x["kind"] not in BASE and x["score"] >= threshold and (x["kind"] in SECRETS or not before or ends[before - 1] <= x["start"]):
             more.append(x)
     return sorted(base + more, key=lambda x: (x["start"], KINDS.index(x["kind"])))
 
@@ -195,4 +222,5 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return rows.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    secrets = F.size(F.filter("spans", lambda s: s["kind"].isin(*SECRETS))).cast("long").alias("n_secret")
+    return rows.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), secrets)
