@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, perplexity, pii, quality_rules, sharding, simhash, substrings, tokens
+from . import exact_dedup, mixing, packing, perplexity, pii, quality_rules, sharding, simhash, substrings, tokens, whitening
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_quality_perplexity": perplexity.op9_quality_perplexity,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
 }
 
 ORACLES = {
