@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, perplexity, pii, quality_rules, sharding, simhash, substrings, tokens, whitening
+from . import exact_dedup, filter_audit, mixing, packing, perplexity, pii, quality_rules, sharding, simhash, substrings, tokens, warc, whitening
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,10 +16,14 @@ QUERIES = {
     "op9_quality_perplexity": perplexity.op9_quality_perplexity,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_warc_archives": warc.op12_warc_archives,
+    "op13_filter_interaction": filter_audit.op13_filter_interaction,
 }
 
 ORACLES = {
     "op3_mix_sources": mixing.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op10_quality_rules": quality_rules.SQL,
+    "op12_warc_archives": warc.SQL,
+    "op13_filter_interaction": filter_audit.SQL,
 }
