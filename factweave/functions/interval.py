@@ -29,6 +29,12 @@ def interval(lo: str | Column, hi: str | Column) -> Interval:
     return Interval(F.when(there, lo), F.when(there, hi))
 
 
+def text(x: Interval) -> Column:
+    """As a report shows it: [0, +oo], or bot."""
+    bound = lambda v: F.when(v == NEG, "-oo").when(v == POS, "+oo").otherwise(v.cast("string"))
+    return F.when(x.lo.isNull(), "bot").otherwise(F.concat(F.lit("["), bound(x.lo), F.lit(", "), bound(x.hi), F.lit("]")))
+
+
 def constant(value: int) -> Interval:
     return Interval(F.lit(value).cast("long"), F.lit(value).cast("long"))
 

@@ -148,6 +148,29 @@ def heads(edges: DataFrame, cyclic: DataFrame) -> DataFrame:
     return top.join(most, ["s_dst", "best"]).groupBy(F.col("s_dst").alias("scc")).agg(F.min("dst").alias("node"))
 
 
+def loop_heads(edges: DataFrame, rounds: Rounds | None = None) -> DataFrame:
+    """(node): the heads of all components, of the components within them without edges into their heads, and so on, and nodes with an edge to
+    themselves. Every cycle holds one."""
+    rounds = rounds or Rounds(edges.sparkSession, "heads")
+    now = rounds.cut(_clean(edges), "edges")
+    found = now.where("src = dst").select(F.col("src").alias("node"))
+    now = now.where("src <> dst")
+    while True:
+        cyclic = cyclic_nodes(now, rounds)
+        if cyclic.isEmpty():
+            return found.distinct()
+        head = rounds.cut(heads(now, cyclic), "heads")
+        found = found.unionByName(head.select("node"))
+        now = rounds.cut(within(now, cyclic, head), "now")
+
+
+def within(edges: DataFrame, cyclic: DataFrame, head: DataFrame) -> DataFrame:
+    """The edges between nodes of one component but those into its head."""
+    ends = [cyclic.select(F.col("node").alias(side), F.col("scc").alias(f"s_{side}")) for side in ("src", "dst")]
+    inside = edges.join(ends[0], "src").join(ends[1], "dst").where("s_src = s_dst")
+    return inside.join(head.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+
+
 def weak_topological_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, order, is_head, depth): orders from 1 in which every edge leads on but those back to a head of a component around it.
 

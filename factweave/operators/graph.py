@@ -64,20 +64,6 @@ def spread(edges: DataFrame, marks: DataFrame) -> DataFrame:
     raise RuntimeError("spread: no fixpoint")
 
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """The edges without those that start or end at a node that no edge goes on at, taken off in rounds as long as a round takes a tenth of them:
-    all cycles stay, and what paths lead between or closely around them."""
-    now = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "core")
-    size = now.count()
-    while size:
-        ends = now.join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        now = cut(ends.join(ends.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "core")
-        before, size = size, now.count()
-        if size > 0.9 * before:
-            break
-    return now
-
-
 def distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(node, dist): fewest edges from any of `starts` (node); only new nodes go on in a round."""
     links = cut(edges.select("src", "dst").distinct(), "links")
@@ -131,12 +117,3 @@ def components(edges: DataFrame) -> DataFrame:
     ends = edges.where("src is not null and dst is not null").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     nodes = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).distinct()
     return nodes.join(stars(ends), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
-
-
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, scc): the smallest node on a common cycle, itself without one."""
-    paths = closure(cyclic_core(edges))
-    back = paths.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = paths.join(back, ["src", "dst"], "left_semi").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least"))
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    return nodes.join(mutual, "node", "left").select("node", F.least("node", "least").alias("scc"))

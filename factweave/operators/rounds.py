@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factweave.operators.graph import shared_dir
 
@@ -58,7 +59,8 @@ class Rounds:
         """Ends a round whose state is `tables` (written ones) and `facts`; all others of this iteration are deleted."""
         named = {k: [self.paths[id(d)][0] for d in (v if isinstance(v, list) else [v])] for k, v in tables.items()}
         if self.resumable:
-            row = json.dumps({"round": self.number, "tables": named, "facts": facts or {}})
+            schemas = {k: (v[0] if isinstance(v, list) else v).schema.json() for k, v in tables.items()}
+            row = json.dumps({"round": self.number, "tables": named, "schemas": schemas, "facts": facts or {}})
             self.spark.range(1, numPartitions=1).select(F.lit(row).alias("value")).write.text(f"{self.home}/manifests/{self.number:09d}-{uuid.uuid4().hex[:8]}")
         kept = {p for paths in named.values() for p in paths}
         for key, (path, _) in list(self.paths.items()):
@@ -76,7 +78,8 @@ class Rounds:
             found = json.loads(self.spark.read.text(folder).first().value)
             tables = {}
             for label, paths in found["tables"].items():
-                tables[label] = [self.spark.read.parquet(p) for p in paths]
+                schema = StructType.fromJson(json.loads(found["schemas"][label]))
+                tables[label] = [self.spark.read.schema(schema).parquet(p) for p in paths]
                 self.paths.update({id(d): (p, d) for d, p in zip(tables[label], paths, strict=True)})
             self.number = found["round"] + 1
             return tables, found["facts"]

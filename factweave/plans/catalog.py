@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import interval as I
-from factweave.operators import graph
+from factweave.operators import components, graph
 from factweave.sources.events import CALLS_SQL, EVENTS_SQL, calls, owned, points
 
 QUERIES: dict = {}
@@ -224,7 +224,7 @@ def call_closure(spark, sf_dir):
 
 @query(_CLOSURE_SQL + " SELECT src AS proc FROM tc WHERE src = dst", recursive=True)
 def is_recursive(spark, sf_dir):
-    return graph.closure(graph.cyclic_core(calls(spark, sf_dir))).where("src = dst").select(F.col("src").alias("proc"))
+    return components.cyclic_nodes(calls(spark, sf_dir)).select(F.col("node").alias("proc"))
 
 
 @query(_CLOSURE_SQL + " SELECT src AS proc FROM tc GROUP BY src HAVING count(*) = 1", recursive=True)
@@ -255,7 +255,7 @@ def connected_components(spark, sf_dir):
 @query(_CLOSURE_SQL + """, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)
  SELECT node, least(node, coalesce((SELECT min(a.dst) FROM tc a JOIN tc b ON a.src = b.dst AND a.dst = b.src WHERE a.src = node), node)) AS scc FROM n""", recursive=True)
 def scc(spark, sf_dir):
-    return graph.strong_components(calls(spark, sf_dir))
+    return components.strong_components(calls(spark, sf_dir))
 
 
 @query(""", w AS (SELECT 0::BIGINT AS node, 0::BIGINT AS dist UNION SELECT e.dst, dist + 1 FROM w JOIN edges e ON node = e.src WHERE dist < (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)))
@@ -343,11 +343,13 @@ def _oracle_of(name):
 _ALARMS_SQL = ", al AS (SELECT pid, nid, loc, off_lo" + _oracle_of("bounds_check")[1] + ")"
 
 
-@query(_ALARMS_SQL + """ SELECT count(*) AS n_queries, count(DISTINCT (pid, loc)) AS n_points, CAST(sum((status = 'Proven')::INT) AS BIGINT) AS n_proven,
-  CAST(sum((status = 'UnProven')::INT) AS BIGINT) AS n_unproven, CAST(sum((status = 'BotAlarm')::INT) AS BIGINT) AS n_bot FROM al""")
+@query(_ALARMS_SQL + """ SELECT CAST(sum(n) AS BIGINT) AS n_queries, count(*) AS n_points, count(*) FILTER (NOT unproven) AS n_proven, count(*) FILTER (unproven) AS n_unproven, count(*) FILTER (bot) AS n_bot
+ FROM (SELECT count(*) AS n, bool_or(status = 'UnProven') AS unproven, bool_or(status = 'BotAlarm') AS bot FROM al GROUP BY pid, loc)""")
 def alarm_summary(spark, sf_dir):
-    n = lambda s: F.count_if(F.col("status") == s)
-    return bounds_check(spark, sf_dir).agg(F.count("*").alias("n_queries"), F.count_distinct("pid", "loc").alias("n_points"), n("Proven").alias("n_proven"), n("UnProven").alias("n_unproven"), n("BotAlarm").alias("n_bot"))
+    """Queries, and the points (locations) they are at: without an unproven query, with one, with one on bottom."""
+    any_of = lambda s: F.bool_or(F.col("status") == s)
+    at = bounds_check(spark, sf_dir).groupBy("pid", "loc").agg(F.count("*").alias("n"), any_of("UnProven").alias("unproven"), any_of("BotAlarm").alias("bot"))
+    return at.agg(F.sum("n").alias("n_queries"), F.count("*").alias("n_points"), F.count_if(~F.col("unproven")).alias("n_proven"), F.count_if("unproven").alias("n_unproven"), F.count_if("bot").alias("n_bot"))
 
 
 @query(_ALARMS_SQL + " SELECT pid, loc, count(*) AS n, CASE WHEN bool_or(status = 'BotAlarm') THEN 'BotAlarm' WHEN bool_or(status = 'UnProven') THEN 'UnProven' ELSE 'Proven' END AS status FROM al GROUP BY pid, loc")
@@ -375,7 +377,7 @@ def feature_normalize(spark, sf_dir):
 
 def _all() -> None:
     """Modules that register further queries."""
-    from factweave.plans import lattice, reports  # noqa: F401
+    from factweave.plans import flow, lattice, reports  # noqa: F401
 
 
 def queries() -> dict:

@@ -109,11 +109,11 @@ def without_parts(alarms: DataFrame, keys: list[str], *conditions) -> DataFrame:
     return alarms.join(alarms.where(met).select(*keys).distinct(), keys, "left_anti")
 
 
-@query(_ALARMS_SQL + """, un AS (SELECT * FROM al WHERE status <> 'Proven')
+@query(_ALARMS_SQL + """, un AS (SELECT * FROM al WHERE status = 'UnProven')
  SELECT pid, nid, loc, status FROM un WHERE NOT EXISTS (SELECT * FROM un AS o WHERE o.pid = un.pid AND o.loc = un.loc AND (o.pid = 'u0' OR o.loc IN (3, 7) OR o.off_lo > 450))""")
 def alarm_filter_parts(spark, sf_dir):
-    """Alarms but those of the global procedure (u0), of allocation sites 3 and 7, and of locations with an offset from outside (over 450), by whole partitions."""
-    found = bounds_check(spark, sf_dir).where("status <> 'Proven'")
+    """Unproven alarms but those of the global procedure (u0), of allocation sites 3 and 7, and of locations with an offset from outside (over 450), by whole partitions."""
+    found = bounds_check(spark, sf_dir).where("status = 'UnProven'")
     return without_parts(found, ["pid", "loc"], F.col("pid") == "u0", F.col("loc").isin(3, 7), F.col("off_lo") > 450).select("pid", "nid", "loc", "status")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factweave.functions import interval as I
-from factweave.operators import graph
+from factweave.operators import components
 from factweave.operators.ranking import ranked, take_top
 from factweave.plans.catalog import (
     _ACCESS_SQL, _ALARMS_SQL, _OWNED_SQL, _CLOSURE_SQL, ORACLES, PAIRS_SQL, SIZES_SQL, STATES_SQL, _sets, access_proc_local, access_reach, accesses, reach, bounds_check, div_zero_check, pairs, query, sizes, states,
@@ -95,11 +95,21 @@ def inspect_alarm(spark, sf_dir):
     return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("checker", "status").agg(F.count("*").alias("n"))
 
 
-@query(_ALARMS_SQL + _CLOSURE_SQL + " SELECT pid, nid, loc, status FROM al WHERE status <> 'Proven' AND pid NOT IN (SELECT 'u' || src FROM tc WHERE src = dst)", recursive=True)
+@query(_ALARMS_SQL + _CLOSURE_SQL + " SELECT pid, nid, loc, status FROM al WHERE status = 'UnProven' AND pid NOT IN (SELECT 'u' || src FROM tc WHERE src = dst)", recursive=True)
 def alarm_filter_rec(spark, sf_dir):
-    """Alarms outside recursive procedures."""
-    recursive = graph.closure(graph.cyclic_core(calls(spark, sf_dir))).where("src = dst").select(F.concat(F.lit("u"), "src").alias("pid"))
-    return bounds_check(spark, sf_dir).where("status <> 'Proven'").join(recursive, "pid", "left_anti").select("pid", "nid", "loc", "status")
+    """Unproven alarms outside recursive procedures."""
+    recursive = components.cyclic_nodes(calls(spark, sf_dir)).select(F.concat(F.lit("u"), "node").alias("pid"))
+    return bounds_check(spark, sf_dir).where("status = 'UnProven'").join(recursive, "pid", "left_anti").select("pid", "nid", "loc", "status")
+
+
+@query(_ALARMS_SQL + """, rk AS (SELECT pid, loc, row_number() OVER (ORDER BY pid, loc) AS rank FROM al WHERE status = 'UnProven' GROUP BY pid, loc)
+ SELECT rank, pid, loc, nid, status, 'offset: [' || off_lo || ', ' || off_hi || '], size: [' || size_lo || ', ' || size_hi || ']' AS descr FROM al JOIN rk USING (pid, loc) WHERE status = 'UnProven'""")
+def alarm_report(spark, sf_dir):
+    """The printed report: unproven locations, numbered, with what is said of each alarm there."""
+    found = bounds_check(spark, sf_dir).where("status = 'UnProven'")
+    numbers = ranked(found.select("pid", "loc").distinct(), [F.asc("pid"), F.asc("loc")])
+    descr = F.concat(F.lit("offset: "), I.text(I.interval("off_lo", "off_hi")), F.lit(", size: "), I.text(I.interval("size_lo", "size_hi")))
+    return found.join(numbers, ["pid", "loc"]).select("rank", "pid", "loc", "nid", "status", descr.alias("descr"))
 
 
 def _weights(spark, sf_dir):
