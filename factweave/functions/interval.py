@@ -1,6 +1,6 @@
 """Intervals as pairs of long columns.
 
-The lowest and highest long stand for minus and plus infinity; a null bound (or lo > hi) is bottom, the empty
+The lowest and highest long stand for minus and plus infinity; a null bound, lo > hi, +oo below or -oo above is bottom, the empty
 interval. All of it is built from column expressions, so it stays in generated code.
 """
 
@@ -23,9 +23,9 @@ class Interval(NamedTuple):
 
 
 def interval(lo: str | Column, hi: str | Column) -> Interval:
-    """Bottom is made null on both sides."""
+    """Bottom is made null on both sides: crossed bounds, and plus (minus) infinity as the lower (upper) one."""
     lo, hi = (F.col(x) if isinstance(x, str) else x for x in (lo, hi))
-    there = lo <= hi
+    there = (lo <= hi) & (lo != POS) & (hi != NEG)
     return Interval(F.when(there, lo), F.when(there, hi))
 
 

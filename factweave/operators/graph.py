@@ -79,6 +79,23 @@ def distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
     raise RuntimeError("distances: no fixpoint")
 
 
+def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, step, via): the nodes of a shortest path from `starts` (node) to each node that they reach, step 0 at a start; of equally short ones, that whose last
+    nodes are the smallest. Distances carry their predecessor; paths are then read back from all ends at once."""
+    dist = cut(distances(edges, starts), "dist")
+    into = edges.select("src", F.col("dst").alias("node")).distinct().join(dist, "node").join(dist.select(F.col("node").alias("src"), F.col("dist").alias("before")), "src")
+    up = cut(into.where("before = dist - 1").groupBy("node").agg(F.min("src").alias("up")), "up")
+    found = front = cut(dist.select("node", F.col("dist").alias("step"), F.col("node").alias("via")), "path")
+    for step in range(1, 1_000_000):
+        front = cut(front.join(up.withColumnRenamed("node", "via"), "via").select("node", (F.col("step") - 1).alias("step"), F.col("up").alias("via")), "path")
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front)
+        if step % 10 == 0:
+            found = cut(found, "found")
+    raise RuntimeError("shortest_paths: no end")
+
+
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return distances(edges, starts).select("node")
 

@@ -69,11 +69,15 @@ def _both(spark, sf_dir) -> tuple[DataFrame, I.Interval, I.Interval]:
     return states(spark, sf_dir).join(other, ["pid", "loc"], "full"), I.interval("lo", "hi"), I.interval("c", "d")
 
 
-@query(STATES_SQL + SIZES_SQL + " SELECT pid, bool_and(st.lo IS NOT DISTINCT FROM sz.lo AND st.hi IS NOT DISTINCT FROM sz.hi) AS is_eq FROM st FULL JOIN sz USING (pid, loc) GROUP BY pid")
+_LOW_SQL = STATES_SQL + ", lw AS (SELECT pid, loc, min(v) AS lo, least(max(v), 400) AS hi FROM ev WHERE event_type = 'purchase' AND k < 95 GROUP BY pid, loc)"
+
+
+@query(_LOW_SQL + " SELECT pid, bool_and(st.lo IS NOT DISTINCT FROM lw.lo AND st.hi IS NOT DISTINCT FROM lw.hi) AS is_eq FROM st FULL JOIN lw USING (pid, loc) GROUP BY pid")
 def map_eq(spark, sf_dir):
-    """Whether both maps of a procedure are equal; a missing key is bottom."""
-    rows, x, y = _both(spark, sf_dir)
-    return rows.groupBy("pid").agg(F.bool_and(I.eq(x, y)).alias("is_eq"))
+    """Whether a procedure's map is the same without stores of k >= 95 and with values capped at 400; a missing key is bottom."""
+    other = points(spark, sf_dir).where("event_type = 'purchase' and k < 95").groupBy("pid", "loc").agg(F.min("v").alias("c"), F.least(F.max("v"), F.lit(400)).alias("d"))
+    rows = states(spark, sf_dir).join(other, ["pid", "loc"], "full")
+    return rows.groupBy("pid").agg(F.bool_and(I.eq(I.interval("lo", "hi"), I.interval("c", "d"))).alias("is_eq"))
 
 
 _T = f"(SELECT unnest({THRESHOLDS}) AS t)"

@@ -13,7 +13,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def oracle():
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    for table in ("events", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     return db
 
 
@@ -33,7 +34,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-VALUES = [(1, 3), (-4, 2), (None, None), (3, 1), (0, 0), (I.NEG, 5), (2, I.POS), (I.NEG, I.POS)]
+VALUES = [(1, 3), (-4, 2), (None, None), (3, 1), (0, 0), (I.NEG, 5), (2, I.POS), (I.NEG, I.POS), (I.POS, I.POS), (I.NEG, I.NEG)]
 
 
 @pytest.fixture(scope="module")
@@ -52,6 +53,11 @@ def test_lattice_laws(grid):
         assert rows.where(~law | law.isNull()).count() == 0
 
 
+def test_infinities_the_wrong_way_round_are_bottom(grid):
+    rows, x, _ = grid
+    assert {(r.a, r.b) for r in rows.where(I.is_bottom(x)).collect()} == {(None, None), (3, 1), (I.POS, I.POS), (I.NEG, I.NEG)}
+
+
 def edges(spark, pairs):
     return spark.createDataFrame(pairs, "src long, dst long")
 
@@ -60,6 +66,8 @@ def test_graphs(spark):
     g = edges(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (4, 4), (7, 8)])
     assert {tuple(r) for r in graph.components(g).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7)}
     assert {tuple(r) for r in graph.distances(g, edges(spark, [(1, 1)]).selectExpr("src node")).collect()} == {(1, 0), (2, 1), (3, 2), (4, 3)}
+    start = edges(spark, [(1, 1)]).selectExpr("src node")
+    assert {tuple(r) for r in graph.shortest_paths(edges(spark, [(1, 2), (1, 3), (2, 4), (3, 4), (4, 1), (9, 4)]), start).collect()} == {(1, 0, 1), (2, 1, 2), (2, 0, 1), (3, 1, 3), (3, 0, 1), (4, 2, 4), (4, 1, 2), (4, 0, 1)}
     none = edges(spark, [])
     assert graph.closure(none).count() == graph.components(none).count() == 0
 
