@@ -121,12 +121,13 @@ def alarm_filter_parts(spark, sf_dir):
     return without_parts(found, ["pid", "loc"], F.col("pid") == "u0", F.col("loc").isin(3, 7), F.col("off_lo") > 450).select("pid", "nid", "loc", "status")
 
 
-@query(""", own AS (SELECT user_id AS node, min(v) AS lo, max(v) AS hi FROM ev WHERE event_type = 'purchase' GROUP BY user_id),
- tc AS (SELECT src, dst FROM edges UNION SELECT tc.src, edges.dst FROM tc JOIN edges ON tc.dst = edges.src),
- hull AS (SELECT src, dst FROM tc UNION SELECT node, node FROM own)
- SELECT dst AS node, min(lo) AS lo, max(hi) AS hi FROM hull JOIN own ON own.node = hull.src GROUP BY dst""", recursive=True)
+@query(""", own AS (SELECT user_id AS node, coalesce(max(v) FILTER (event_type = 'purchase'), 0) AS hi FROM ev GROUP BY user_id),
+ h AS (SELECT node, hi FROM own UNION SELECT dst, least(hi + 1, 400) FROM h JOIN edges ON node = src)
+ SELECT node, 0::BIGINT AS lo, max(hi) AS hi FROM h GROUP BY node""", recursive=True)
 def flow_insensitive_fixpoint(spark, sf_dir):
-    """Values stored by each procedure or passed on by its callers, to a fixpoint."""
-    start = points(spark, sf_dir).where("event_type = 'purchase'").groupBy(F.col("user_id").alias("node")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    flows = calls(spark, sf_dir).select("src", "dst", F.lit(0).alias("add"), F.lit(I.NEG).alias("from"), F.lit(I.POS).alias("to"))
-    return fixpoint(flows, start, delay=1_000_000, narrowing=0)
+    """Values up to what a procedure stores; its calls pass them on, raised by one and up to 400. Cycles of calls make bounds grow, so those that do are widened to
+    a threshold, the limit, and narrowed to the least fixpoint, which SQL finds by trying all values."""
+    stored = F.coalesce(F.max(F.when(F.col("event_type") == "purchase", F.col("v"))), F.lit(0).cast("long"))
+    start = points(spark, sf_dir).groupBy(F.col("user_id").alias("node")).agg(F.lit(0).cast("long").alias("lo"), stored.alias("hi"))
+    flows = calls(spark, sf_dir).select("src", "dst", F.lit(1).alias("add"), F.lit(0).alias("from"), F.lit(400).alias("to"))
+    return fixpoint(flows, start, [400], narrowing=1000)
