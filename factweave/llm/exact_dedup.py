@@ -25,7 +25,7 @@ def dedup_report(docs: DataFrame, *, salts: int = 48, digest=sha256) -> DataFram
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the largest doc_id
     stays; null ids lose to all others. Rows repeated under the winning doc_id are all marked kept, and if all ids
     of a text are null, all of its rows are. An empty table gives an empty report. `digest` can be any deterministic
-    function to binary: weak ones cost speed, not correctness. `salts` is at most 62.
+    function to binary: weak ones cost speed, not correctness. `salts` is at most 62. Texts of any length are compared whole.
     """
     if not 1 <= salts <= 62:
         raise ValueError("salts: 1 to 62")
@@ -58,7 +58,7 @@ def dedup_report(docs: DataFrame, *, salts: int = 48, digest=sha256) -> DataFram
 
 
 def exact_dedup(docs: DataFrame, **options) -> DataFrame:
-    """One row of each text, with all its columns: that of the largest doc_id, null before all others, ties by row."""
+    """One row of each text, with all its columns: that of the largest doc_id, null before all others, ties by row. Texts are as in dedup_report; columns of any names are kept."""
     row = free_name(docs, "row")
     rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "exact-rows")
     keyed = rows.select(F.struct("doc_id", F.col(row).alias("row")).alias("doc_id"), "text")  # a null id in a struct is less than all others

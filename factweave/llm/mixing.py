@@ -56,7 +56,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, power: floa
     mix_copies, mix_rate, mix_key.
 
     Null sources are a source; null texts have no bytes; rows repeated under one doc_id get equal counts. An empty
-    table gives no rows. A column of `docs` with one of the added names is replaced. A source's rate doesn't
+    table gives no rows. A column of `docs` with one of the added names is replaced. Texts of any length travel whole. A source's rate doesn't
     depend on the order or number of partitions.
     """
     rates = source_rates(docs, weights, power=power, scale=scale)

@@ -177,7 +177,7 @@ def spans_of(text: str, threshold: float = 0.6) -> list[dict]:
 def find_pii(docs: DataFrame, *, threshold: float = 0.6, key: str = "doc_id") -> DataFrame:
     """One row per row of `docs` (key and text are read): key, and spans (kind, start, end in code points, score).
 
-    Null and empty texts have no spans. Repeated rows get equal spans. Whole texts are scanned, in time that is linear in
+    Null and empty texts have no spans. Repeated rows get equal spans. Other columns are left out; `key` must not be "spans". Whole texts are scanned, in time that is linear in
     them. An empty table gives no rows.
     """
 
@@ -193,7 +193,11 @@ def find_pii(docs: DataFrame, *, threshold: float = 0.6, key: str = "doc_id") ->
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:
-    """The texts with each span that starts outside an earlier one replaced by its kind in brackets: doc_id, text."""
+    """The texts with each span that starts outside an earlier one replaced by its kind in brackets: doc_id, text.
+
+    Null texts stay null, empty ones empty; repeated rows get equal texts, and texts of any length are rewritten whole. Other
+    columns are left out. An empty table gives no rows.
+    """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     threshold = options.get("threshold", 0.6)
 

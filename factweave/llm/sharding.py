@@ -33,8 +33,9 @@ def rendezvous_shards(docs: DataFrame, weights: list[float], *, grown_weight: fl
 
     `shard` is for the shards of `weights`, `grown_shard` for one more of `grown_weight`. Null keys are one key; a null
     text has no bytes (size 8, checksum 0). Rows repeated under one key share its shard and get slots of their own; a
-    key with more than `hot_key` rows is numbered by input partition as well, so it doesn't fill one task. An empty
-    table gives no rows.
+    key with more than `hot_key` rows is numbered by input partition as well, so it doesn't fill one task. Texts of
+    any length count whole. Other columns, whatever their names, are left out; `key` must not have one of the result's names.
+    An empty table gives no rows.
     """
     if not weights or min(weights) <= 0 or grown_weight <= 0:
         raise ValueError("weights: at least one, all above 0")

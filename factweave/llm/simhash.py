@@ -174,7 +174,8 @@ def near_groups(docs: DataFrame, *, size: int = 4, key: str = "doc_id", salts: i
     """One row per row of `docs` (key and text are read): key, fingerprint (16 hex digits), component_id, the smallest key reachable.
 
     Null and empty texts have fingerprint zero and are linked like any other. Null keys come out with the smallest key of
-    their component (null if it has none). Repeated rows get equal answers. An empty table gives no rows.
+    their component (null if it has none). Repeated rows get equal answers, and ties of keys are one key. Texts of any length
+    are read whole, some MB at a time. Other columns, whatever their names, are left out. An empty table gives no rows.
     """
     rows = materialize(fingerprint_table(docs, size=size, key=key), "fingerprints")
     rows = rows.withColumn("salt", salt_of(F.col(key), salts))

@@ -180,7 +180,8 @@ def length_histogram(docs: DataFrame, *, tokenizer: str | None = None, end: bool
     least that long docs_from and tokens_from, and over all documents truncated_total, the tokens that a context limit of
     `length` leaves, and share_below, the share of documents shorter than it.
 
-    Null and empty texts have no tokens but the end. An empty table gives no rows. Suffix sums are taken in spans of
+    Null and empty texts have no tokens but the end; repeated rows count each; texts of any length are encoded whole. Columns
+    but the text, whatever their names, are left out. An empty table gives no rows. Suffix sums are taken in spans of
     `span` lengths and carried on from one to the next, so no task orders all lengths.
     """
     vocab = vocabulary(docs.sparkSession, tokenizer)
