@@ -221,17 +221,27 @@ def spread_of(x: Interval) -> Column:
     return F.when(is_bottom(x) | endless, 0).otherwise(_clamp(_wide(x.hi) - _wide(x.lo))).cast("long")
 
 
-#: Bytes, whether unsigned, and the highest value of an integer type.
+#: Bytes, whether unsigned, and the lowest and highest value of an integer type, as the analysis takes them to be.
 INTEGERS = {
-    "unsigned char": (1, True, 255), "unsigned short": (2, True, 65535), "unsigned int": (4, True, 4294967295),
-    "char": (1, False, 255), "short": (2, False, 32767), "int": (4, False, 2147483648),
+    "unsigned char": (1, True, 0, 255), "unsigned short": (2, True, 0, 65535), "unsigned int": (4, True, 0, 4294967295),
+    "unsigned long": (8, True, -2147483648, 2147483648), "unsigned long long": (8, True, 0, 4294967295),
+    "char": (1, False, -128, 255), "short": (2, False, -32768, 32767), "int": (4, False, -2147483648, 2147483648),
+    "long": (8, False, 0, 4294967295), "long long": (8, False, -2147483648, 2147483648),
 }
 
 
-def cast(source: str, target: str, x: Interval) -> Interval:
+def of_type(name: str) -> Interval:
+    """All values of an integer type; any value for a type that isn't one."""
+    _, _, lo, hi = INTEGERS.get(name, (0, False, NEG, POS))
+    return Interval(F.lit(lo).cast("long"), F.lit(hi).cast("long"))
+
+
+def cast(source: str, target: str, x: Interval, *, overflow: bool = True) -> Interval:
     """x as `target`, with overflow: any value where the upper bound doesn't fit a narrower type (or a signed one of equal
-    size, from unsigned); absolute values from signed to an unsigned type at least as wide."""
-    (size, unsigned, _), (to_size, to_unsigned, most) = INTEGERS[source], INTEGERS[target]
+    size, from unsigned); absolute values from signed to an unsigned type at least as wide. Without: absolute values as unsigned, else x."""
+    (size, unsigned, _, _), (to_size, to_unsigned, _, most) = INTEGERS[source], INTEGERS[target]
+    if not overflow:
+        return absolute(x) if to_unsigned else x
     if size < to_size or (size == to_size and not (unsigned and not to_unsigned)):
         return absolute(x) if to_unsigned and not unsigned else x
     fits = x.hi <= most

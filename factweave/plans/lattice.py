@@ -50,18 +50,26 @@ def interval_measures(spark, sf_dir):
     return rows.select("pid", "nid", I.height(y).alias("height"), I.spread_of(y).alias("spread"), *I.absolute(y).alias("abs_lo", "abs_hi"))
 
 
-_CASTS = {"u_u": ("unsigned int", "unsigned char"), "s_u": ("int", "unsigned int"), "s_s": ("int", "char"), "u_s": ("unsigned char", "char")}
+_CASTS = {"u_u": ("unsigned int", "unsigned char"), "s_u": ("int", "unsigned int"), "s_s": ("int", "char"), "u_s": ("unsigned char", "char"), "l_i": ("long", "int"), "ul_l": ("unsigned long", "long long"), "l_us": ("long", "unsigned short")}
 
 
-@query(STATES_SQL + f""", sh AS (SELECT pid, loc, lo - 100 AS lo, hi - 100 AS hi FROM st)
- SELECT pid, loc, CASE WHEN hi <= 255 THEN lo ELSE {I.NEG} END AS u_u_lo, CASE WHEN hi <= 255 THEN hi ELSE {I.POS} END AS u_u_hi,
-  CASE WHEN lo < 0 AND hi > 0 THEN 0 ELSE least(abs(lo), abs(hi)) END AS s_u_lo, greatest(abs(lo), abs(hi)) AS s_u_hi,
-  CASE WHEN hi <= 255 THEN lo ELSE {I.NEG} END AS s_s_lo, CASE WHEN hi <= 255 THEN hi ELSE {I.POS} END AS s_s_hi,
-  CASE WHEN hi <= 255 THEN lo ELSE {I.NEG} END AS u_s_lo, CASE WHEN hi <= 255 THEN hi ELSE {I.POS} END AS u_s_hi FROM sh""")
+def _fits_sql(most: int) -> tuple[str, str]:
+    return f"CASE WHEN hi <= {most} THEN lo ELSE {I.NEG} END", f"CASE WHEN hi <= {most} THEN hi ELSE {I.POS} END"
+
+
+_ABS_SQL = "CASE WHEN lo < 0 AND hi > 0 THEN 0 ELSE least(abs(lo), abs(hi)) END", "greatest(abs(lo), abs(hi))"
+_CAST_SQL = {"u_u": _fits_sql(255), "s_u": _ABS_SQL, "s_s": _fits_sql(255), "u_s": _fits_sql(255), "l_i": _fits_sql(2147483648), "ul_l": _fits_sql(2147483648), "l_us": _fits_sql(65535), "free_u": _ABS_SQL, "free_s": ("lo", "hi")}
+
+
+@query(STATES_SQL + ", sh AS (SELECT pid, loc, CASE loc % 3 WHEN 0 THEN 1 WHEN 1 THEN 400 ELSE 9000000 END * (lo - 100) AS lo, CASE loc % 3 WHEN 0 THEN 1 WHEN 1 THEN 400 ELSE 9000000 END * (hi - 100) AS hi FROM st)"
+       " SELECT pid, loc, " + ", ".join(f"{lo} AS {name}_lo, {hi} AS {name}_hi" for name, (lo, hi) in _CAST_SQL.items()) + " FROM sh")
 def interval_cast(spark, sf_dir):
-    """Casts between integer types of states less 100, with overflow."""
-    x = I.Interval(F.col("lo") - 100, F.col("hi") - 100)
-    return states(spark, sf_dir).select("pid", "loc", *[c for name, (a, b) in _CASTS.items() for c in I.cast(a, b, x).alias(f"{name}_lo", f"{name}_hi")])
+    """Casts between integer types, with and without overflow, of states less 100 and of their multiples."""
+    times = F.when(F.col("loc") % 3 == 0, 1).when(F.col("loc") % 3 == 1, 400).otherwise(9_000_000)
+    x = I.Interval(times * (F.col("lo") - 100), times * (F.col("hi") - 100))
+    found = {name: I.cast(a, b, x) for name, (a, b) in _CASTS.items()}
+    found |= {"free_u": I.cast("int", "unsigned char", x, overflow=False), "free_s": I.cast("int", "char", x, overflow=False)}
+    return states(spark, sf_dir).select("pid", "loc", *[c for name, value in found.items() for c in value.alias(f"{name}_lo", f"{name}_hi")])
 
 
 def _both(spark, sf_dir) -> tuple[DataFrame, I.Interval, I.Interval]:

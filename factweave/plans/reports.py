@@ -142,3 +142,19 @@ def json_export(spark, sf_dir):
     """The flagship's rows, exported as JSON and read again."""
     rows = bounds_check(spark, sf_dir)
     return store.load(spark, store.save(rows, "alarms", "json"), rows.schema, "json")
+
+
+@query(_ALARMS_SQL + " SELECT * FROM al")
+def parquet_export(spark, sf_dir):
+    """The flagship's rows, saved as Parquet and taken up again."""
+    rows = bounds_check(spark, sf_dir)
+    return store.load(spark, store.save(rows, "alarms"), rows.schema)
+
+
+@query(""" SELECT '{"src":' || src || ',"dst":' || dst || '}' AS line FROM edges UNION ALL SELECT DISTINCT '{"node":' || user_id || '}' FROM ev""")
+def call_graph_json(spark, sf_dir):
+    """The call graph as lines of JSON: a line for each procedure and for each call, so no line grows with the graph; written as text and read again."""
+    lines = calls(spark, sf_dir).select(F.to_json(F.struct("src", "dst")).alias("line"))
+    nodes = points(spark, sf_dir).select(F.to_json(F.struct(F.col("user_id").alias("node"))).alias("line")).distinct()
+    both = lines.unionByName(nodes)
+    return store.load(spark, store.save(both, "call-graph", "text"), both.schema, "text")
