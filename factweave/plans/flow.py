@@ -9,7 +9,7 @@ from factweave.operators import components, dominance, sparse
 from factweave.operators.taint import tainted
 from factweave.plans.catalog import query
 from factweave.sources import flow
-from factweave.sources.events import points
+from factweave.sources.events import calls, points
 
 #: Thresholds of the loops' widening.
 STEPS = [64, 256]
@@ -55,8 +55,8 @@ def def_use_graph(spark, sf_dir):
 
 @query()
 def wto_order(spark, sf_dir):
-    """A weak topological order of all flow graphs: place, whether a head, components around. SQL can't split components again and again; tested against plain Python."""
-    return components.weak_topological_order(flow.flow_edges(spark, sf_dir))
+    """A weak topological order of the call graph: place, whether a head, components around. SQL can't split components again and again; tested against plain Python."""
+    return components.weak_topological_order(calls(spark, sf_dir))
 
 
 @query(flow.LOOPS_SQL + """ SELECT user_id, loc, 'head' AS point, a AS lo, h AS hi FROM lh UNION ALL SELECT user_id, loc, 'body', a, least(h, c - 1) FROM lh WHERE a <= least(h, c - 1)
