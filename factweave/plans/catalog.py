@@ -377,7 +377,7 @@ def feature_normalize(spark, sf_dir):
 
 def _all() -> None:
     """Modules that register further queries."""
-    from factweave.plans import flow, lattice, reports, scores  # noqa: F401
+    from factweave.plans import expressions, features, flow, lattice, reports, scores, tops  # noqa: F401
 
 
 def queries() -> dict:
