@@ -64,8 +64,9 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, *,
     """Joins `small` (one row a key) to `big` without letting a hot key of `big` fill one task.
 
     `small` is measured first: up to `bound` rows and `most_bytes` it is broadcast; beyond, each of its rows is repeated
-    `salts` times and the rows of `big` choose a copy by `spread`. Null keys match null keys. Both ways give the columns
-    of `big`, then those of `small` but the keys.
+    `salts` times and the rows of `big` choose a copy by `spread`; the copies are merged and never broadcast, as Spark takes
+    their size for that of `small` and would gather them in the driver. Null keys match null keys. Both ways give the
+    columns of `big`, then those of `small` but the keys.
     """
     used, names = big, {}
     for k in [*keys, "salt", "copy"]:
@@ -78,6 +79,6 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, *,
     rows, size = small.limit(bound + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*small.columns)))), F.lit(0))).first()
     if rows <= bound and size <= most_bytes:
         return big.join(F.broadcast(right), same, how).drop(*[names[k] for k in keys])
-    right = right.withColumn(names["copy"], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = right.withColumn(names["copy"], F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     left = big.withColumn(names["salt"], salt_of(spread, salts))
     return left.join(right, same & (F.col(names["salt"]) == F.col(names["copy"])), how).drop(names["salt"], names["copy"], *[names[k] for k in keys])
