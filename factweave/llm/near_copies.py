@@ -1,9 +1,11 @@
 """Near copies: rows whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Rows that agree in one of 32 bands of four min-hashes are candidates: two sets at 0.8 miss each other in all of them
-with a chance of (1 - 0.8 ** 4) ** 32, under 5e-8, and less the more alike they are. Similarities are then computed on
-the shingles of the whole texts. Shingles that one candidate alone has are counted first, as no other row shares them:
-a row with over a fifth of such is like none and drops out, and in each band's group all rows are compared with the one
+Candidates come from the SimHash of operator 8 over five-word shingles: rows in one component of fingerprints that links
+of at most 4 of 64 bits join, by anchors. As sets at 0.8 often differ in more bits, rows that agree in one of 32 bands
+of four min-hashes are candidates as well: two sets at 0.8 miss each other in all of them with a chance of
+(1 - 0.8 ** 4) ** 32, under 5e-8, and less the more alike they are. Similarities are then computed on the shingles of
+the whole texts. Shingles that one candidate alone has are counted first, as no other row shares them:
+a row with over a fifth of such is like none and drops out, and in each group (a component of fingerprints or a band's key) all rows are compared with the one
 that has the smallest share of them, the nearest to what the group has in common. So copies with edits of their own are
 linked to the copy with the fewest. Once components of these links are known, the pairs of a group that is still in two
 components are compared as well, but for those that cannot be alike: own shingles and signatures of 1024 bits bound what
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from factweave.operators.graph import stars
 
 from .common import free_name, in_arrow, lookup, lower_ascii, materialize, salt_of, text_of
+from .simhash import fingerprint_links, fingerprints_of
 from .tokens import steps, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -167,6 +170,14 @@ def leave_room() -> Column:
     return 9 * F.least(F.col("size") - F.col("own"), F.col("f_size") - F.col("f_own")) >= 4 * (F.col("size") + F.col("f_size"))
 
 
+def simhash_groups(prints: DataFrame) -> DataFrame:
+    """(a, key): rows (a, fingerprint) whose fingerprints links of at most 4 bits join have one key, that no band has but by chance."""
+    distinct = materialize(prints.select("fingerprint").distinct(), "near-prints")
+    roots = stars(fingerprint_links(distinct)).select(F.col("node").alias("fingerprint"), "root")
+    named = lookup(prints, roots, ["fingerprint"], F.col("a"), salts=8)
+    return named.select("a", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fingerprint")).alias("key"))
+
+
 def near_links(rows: DataFrame) -> DataFrame:
     """Links (a, b) between row numbers; their components are those of all candidate pairs that are alike. `rows` is (__row, text), lower-cased, not null."""
 
@@ -175,10 +186,12 @@ def near_links(rows: DataFrame) -> DataFrame:
             for part in steps(batch):
                 keys = band_keys(part.column("text"))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("__row"), lists], ["__row", "keys"])
+                prints = pa.array(fingerprints_of(part.column("text"), SIZE))
+                yield pa.RecordBatch.from_arrays([part.column("__row"), prints, lists], ["a", "fingerprint", "keys"])
 
-    banded = materialize(in_arrow(rows, band, "__row long, keys array<long>"), "near-bands")
-    members = banded.select(F.col("__row").alias("a"), F.explode("keys").alias("key"))
+    banded = materialize(in_arrow(rows, band, "a long, fingerprint long, keys array<long>"), "near-bands")
+    simhashed = materialize(simhash_groups(banded.select("a", "fingerprint")), "near-simhash")
+    members = banded.select("a", F.explode("keys").alias("key")).unionByName(simhashed)
     groups = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-groups")
     met = materialize(lookup(members, groups, ["key"], F.col("a"), how="inner", salts=8), "near-met")
     texts = rows.withColumnRenamed("__row", "a").join(met.select("a").distinct(), "a", "left_semi").select("a", "text")

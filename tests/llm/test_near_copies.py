@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
-from factweave.llm import near_copies
+from factweave.llm import near_copies, simhash
 
 SCHEMA = "doc_id long, text string, row string, __salt int"
 
@@ -84,3 +87,21 @@ def test_signatures_leave_all_alike_pairs(spark):
     alike = {(i, j) for j in range(len(texts)) for i in range(j) if similar(texts[i], texts[j])}
     assert alike and alike <= left
     assert len(left - alike) < len(texts) ** 2 / 8
+
+
+def test_fingerprints_alone_find_candidates(spark, monkeypatch):
+    """Copies whose fingerprints differ in few bits are joined without any band; components go on over fingerprints in between."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    texts = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in (0, 1, 200, 399)] + [" ".join(words), "a b c"]
+    monkeypatch.setattr(near_copies, "band_keys", lambda texts, size=5: np.arange(len(texts) * near_copies.BANDS).reshape(len(texts), -1) + 1000 * xxhash.xxh32_intdigest(str(texts)))
+    docs = spark.createDataFrame([(i, t, "r", 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    prints = [int(f) for f in simhash.fingerprints_of(pa.array(texts), near_copies.SIZE)]
+    groups = {r.a: r.key for r in near_copies.simhash_groups(spark.createDataFrame(list(enumerate(prints)), "a long, fingerprint long")).collect()}
+    close = lambda i, j: ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 4
+    reach = [{i} for i in range(len(texts))]
+    for _ in texts:
+        reach = [r | {j for i in r for j in range(len(texts)) if close(i, j)} for r in reach]
+    assert [[groups[i] == groups[j] for j in range(len(texts))] for i in range(len(texts))] == [[j in r for j in range(len(texts))] for r in reach]
+    assert sum(map(len, reach)) > len(texts)
+    assert sorted(r.doc_id for r in near_copies.near_dedup(docs).collect()) == sorted({min(r) for r in reach})
