@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.operators.ranking import ranked
-from factweave.operators.rounds import Rounds
+from factweave.operators.rounds import Rounds, merged
 
 
 def _clean(edges: DataFrame) -> DataFrame:
@@ -28,8 +28,8 @@ def chains(edges: DataFrame, nodes: DataFrame, rounds: Rounds) -> DataFrame:
     smallest node and 0. `edges` are distinct (src, dst) without nulls, `nodes` (node) hold all their ends. Pointers double, so rounds are a chain's length in powers of two."""
     one_out = edges.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).where("n = 1").select("src", "dst")
     one_in = edges.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("src")).where("n = 1").select("src", "dst")
-    links = one_out.join(one_in, ["src", "dst"]).where("src <> dst")
-    start = nodes.join(links.select(F.col("dst").alias("node"), F.col("src").alias("up")), "node", "left")
+    links = one_out.join(merged(one_in), ["src", "dst"]).where("src <> dst")
+    start = nodes.join(merged(links.select(F.col("dst").alias("node"), F.col("src").alias("up"))), "node", "left")
     now = rounds.cut(start.select("node", F.coalesce("up", "node").alias("at"), F.col("up").isNull().alias("there"), F.col("up").isNotNull().cast("long").alias("pos"), F.least("node", "up").alias("least")), "chains")
     before = None
     while True:
@@ -38,7 +38,7 @@ def chains(edges: DataFrame, nodes: DataFrame, rounds: Rounds) -> DataFrame:
             break
         before = found
         on = now.select(F.col("node").alias("at"), F.col("at").alias("o_at"), F.col("there").alias("o_there"), F.col("pos").alias("o_pos"), F.col("least").alias("o_least"))
-        far = now.where("not there").join(on, "at").select("node", F.col("o_at").alias("at"), F.col("o_there").alias("there"), (F.col("pos") + F.col("o_pos")).alias("pos"), F.least("least", "o_least").alias("least"))
+        far = now.where("not there").join(merged(on), "at").select("node", F.col("o_at").alias("at"), F.col("o_there").alias("there"), (F.col("pos") + F.col("o_pos")).alias("pos"), F.least("least", "o_least").alias("least"))
         new = rounds.cut(now.where("there").unionByName(far), "chains")
         rounds.drop(now)
         now = new
@@ -49,10 +49,10 @@ def _coloured(edges: DataFrame, rounds: Rounds) -> DataFrame:
     """(node, label): the smallest node that leads to each; only labels that changed go on, two edges a round."""
     now = front = rounds.cut(nodes_of(edges).withColumn("label", F.col("node")), "labels")
     while True:
-        once = edges.join(front.select(F.col("node").alias("src"), "label"), "src").select(F.col("dst").alias("node"), "label")
-        twice = edges.join(once.groupBy(F.col("node").alias("src")).agg(F.min("label").alias("label")), "src").select(F.col("dst").alias("node"), "label")
+        once = edges.join(merged(front.select(F.col("node").alias("src"), "label")), "src").select(F.col("dst").alias("node"), "label")
+        twice = edges.join(merged(once.groupBy(F.col("node").alias("src")).agg(F.min("label").alias("label"))), "src").select(F.col("dst").alias("node"), "label")
         sent = once.unionByName(twice).groupBy("node").agg(F.min("label").alias("new"))
-        both = now.join(sent, "node", "left").select("node", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("moved"))
+        both = now.join(merged(sent), "node", "left").select("node", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("moved"))
         new = rounds.cut(both, "labels")
         rounds.drop(now)
         now, front = new, new.where("moved").select("node", "label")
@@ -64,9 +64,9 @@ def _led_back(edges: DataFrame, starts: DataFrame, rounds: Rounds) -> DataFrame:
     """(node, label) of all from which edges (src, dst, label) lead to `starts` under the same label; two edges a round."""
     found = front = rounds.cut(starts, "back")
     for step in range(1, 1_000_000):
-        back = lambda rows: edges.join(rows.select(F.col("node").alias("dst"), "label"), ["dst", "label"]).select(F.col("src").alias("node"), "label")
+        back = lambda rows: edges.join(merged(rows.select(F.col("node").alias("dst"), "label")), ["dst", "label"]).select(F.col("src").alias("node"), "label")
         once = back(front)
-        front = rounds.cut(once.unionByName(back(once)).distinct().join(found, ["node", "label"], "left_anti"), "back")
+        front = rounds.cut(once.unionByName(back(once)).distinct().join(merged(found), ["node", "label"], "left_anti"), "back")
         if front.isEmpty():
             return found
         found = found.unionByName(front)
@@ -81,7 +81,7 @@ def cyclic_nodes(edges: DataFrame, rounds: Rounds | None = None) -> DataFrame:
     edges = rounds.cut(_clean(edges), "edges")
     member = rounds.cut(chains(edges, nodes_of(edges), rounds), "members")
     ends = [member.select(F.col("node").alias(side), F.col("chain").alias(f"c_{side}"), F.col("pos").alias(f"p_{side}")) for side in ("src", "dst")]
-    between = edges.join(ends[0], "src").join(ends[1], "dst")
+    between = edges.join(merged(ends[0]), "src").join(merged(ends[1]), "dst")
     # An edge within a chain but to the next node closes a cycle over all of it: its ends have no other edges.
     inner = (F.col("c_src") == F.col("c_dst")) & (F.col("p_dst") == F.col("p_src") + 1)
     between = rounds.cut(between.where(~inner).select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).distinct(), "between")
@@ -89,20 +89,20 @@ def cyclic_nodes(edges: DataFrame, rounds: Rounds | None = None) -> DataFrame:
     left = between.where("src <> dst")
     size = left.count()
     while size:
-        inner = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        trimmed = rounds.cut(inner.join(inner.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "left")
+        inner = left.join(merged(left.select(F.col("src").alias("dst")).distinct()), "dst", "left_semi")
+        trimmed = rounds.cut(inner.join(merged(inner.select(F.col("dst").alias("src")).distinct()), "src", "left_semi").select("src", "dst"), "left")
         rounds.drop(left)
         left, before, size = trimmed, size, trimmed.count()
         if not size or size < 0.5 * before:
             continue
         label = _coloured(left, rounds)
-        same = left.join(label.select(F.col("node").alias("src"), "label"), "src").join(label.select(F.col("node").alias("dst"), F.col("label").alias("l_dst")), "dst").where("label = l_dst")
+        same = left.join(merged(label.select(F.col("node").alias("src"), "label")), "src").join(merged(label.select(F.col("node").alias("dst"), F.col("label").alias("l_dst"))), "dst").where("label = l_dst")
         same = rounds.cut(same.select("src", "dst", "label"), "same")
-        starts = label.where("node = label").join(same.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
+        starts = label.where("node = label").join(merged(same.select(F.col("dst").alias("node")).distinct()), "node", "left_semi")
         found = _led_back(same, starts, rounds)
         own.append(found.select(F.col("node").alias("chain"), "label"))
         gone = found.select("node")
-        new = same.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        new = same.join(merged(gone.withColumnRenamed("node", "src")), "src", "left_anti").join(merged(gone.withColumnRenamed("node", "dst")), "dst", "left_anti")
         left = rounds.cut(new.select("src", "dst"), "left")
         size = left.count()
     on_cycle = own[0]
@@ -110,42 +110,42 @@ def cyclic_nodes(edges: DataFrame, rounds: Rounds | None = None) -> DataFrame:
         on_cycle = on_cycle.unionByName(o)
     # A chain with an edge to itself may lie on longer cycles too; a start without a way back is on none.
     on_cycle = on_cycle.groupBy("chain").agg(F.min("label").alias("label"))
-    found = rounds.cut(member.join(on_cycle, "chain").select("node", "label"), "cyclic")
+    found = rounds.cut(member.join(merged(on_cycle), "chain").select("node", "label"), "cyclic")
     least = found.groupBy("label").agg(F.min("node").alias("scc"))
-    return rounds.cut(found.join(least, "label").select("node", "scc"), "cyclic")
+    return rounds.cut(found.join(merged(least), "label").select("node", "scc"), "cyclic")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, scc): the smallest node on a common cycle, itself without one."""
     nodes = nodes_of(edges.where("src is not null and dst is not null"))
-    return nodes.join(cyclic_nodes(edges), "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
+    return nodes.join(merged(cyclic_nodes(edges)), "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
 
 
 def levels(edges: DataFrame, nodes: DataFrame, rounds: Rounds) -> DataFrame:
     """(node, level, pos): of an acyclic graph, the most chains on a path to a node's chain, and its place in it; edges lead upwards in (level, pos)."""
     member = rounds.cut(chains(edges, nodes, rounds), "level-chains")
     ends = [member.select(F.col("node").alias(side), F.col("chain").alias(f"c_{side}")) for side in ("src", "dst")]
-    between = rounds.cut(edges.join(ends[0], "src").join(ends[1], "dst").where("c_src <> c_dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).distinct(), "level-edges")
+    between = rounds.cut(edges.join(merged(ends[0]), "src").join(merged(ends[1]), "dst").where("c_src <> c_dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).distinct(), "level-edges")
     now = front = rounds.cut(member.select(F.col("chain").alias("node")).distinct().withColumn("level", F.lit(0).cast("long")), "levels")
     while True:
-        sent = between.join(front.select(F.col("node").alias("src"), "level"), "src").groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("new"))
-        new = rounds.cut(now.join(sent, "node", "left").select("node", F.greatest("level", "new").alias("level"), (F.col("new") > F.col("level")).alias("moved")), "levels")
+        sent = between.join(merged(front.select(F.col("node").alias("src"), "level")), "src").groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("new"))
+        new = rounds.cut(now.join(merged(sent), "node", "left").select("node", F.greatest("level", "new").alias("level"), (F.col("new") > F.col("level")).alias("moved")), "levels")
         rounds.drop(now)
         now, front = new, new.where("moved").select("node", "level")
         if front.isEmpty():
-            return member.join(now.select(F.col("node").alias("chain"), "level"), "chain").select("node", "level", "pos")
+            return member.join(merged(now.select(F.col("node").alias("chain"), "level")), "chain").select("node", "level", "pos")
 
 
 def heads(edges: DataFrame, cyclic: DataFrame) -> DataFrame:
     """(scc, node): of the nodes that edges enter a component at, the one with the most predecessors in it, the smallest of equal ones; without any, the smallest node."""
     ends = [cyclic.select(F.col("node").alias(side), F.col("scc").alias(f"s_{side}")) for side in ("src", "dst")]
-    into = edges.join(ends[1], "dst").join(ends[0], "src", "left")
+    into = edges.join(merged(ends[1]), "dst").join(merged(ends[0]), "src", "left")
     inside = F.coalesce(F.col("s_src") == F.col("s_dst"), F.lit(False))
     score = into.groupBy("s_dst", "dst").agg(F.count_if(inside).alias("inner"), F.count_if(~inside).alias("entered"))
     best = F.struct((F.col("entered") > 0).cast("int").alias("entry"), F.when(F.col("entered") > 0, F.col("inner")).otherwise(0).alias("inner"))
     top = score.withColumn("best", best)
     most = top.groupBy("s_dst").agg(F.max("best").alias("best"))
-    return top.join(most, ["s_dst", "best"]).groupBy(F.col("s_dst").alias("scc")).agg(F.min("dst").alias("node"))
+    return top.join(merged(most), ["s_dst", "best"]).groupBy(F.col("s_dst").alias("scc")).agg(F.min("dst").alias("node"))
 
 
 def loop_heads(edges: DataFrame, rounds: Rounds | None = None) -> DataFrame:
@@ -167,8 +167,8 @@ def loop_heads(edges: DataFrame, rounds: Rounds | None = None) -> DataFrame:
 def within(edges: DataFrame, cyclic: DataFrame, head: DataFrame) -> DataFrame:
     """The edges between nodes of one component but those into its head."""
     ends = [cyclic.select(F.col("node").alias(side), F.col("scc").alias(f"s_{side}")) for side in ("src", "dst")]
-    inside = edges.join(ends[0], "src").join(ends[1], "dst").where("s_src = s_dst")
-    return inside.join(head.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    inside = edges.join(merged(ends[0]), "src").join(merged(ends[1]), "dst").where("s_src = s_dst")
+    return inside.join(merged(head.select(F.col("node").alias("dst"))), "dst", "left_anti").select("src", "dst")
 
 
 def weak_topological_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -188,12 +188,12 @@ def weak_topological_order(edges: DataFrame, nodes: DataFrame | None = None) ->
     now = rounds.cut(now.where("src <> dst"), "now")
     while True:
         cyclic = cyclic_nodes(now, rounds)
-        part = rounds.cut(here.join(cyclic, "node", "left").select("node", "key", F.coalesce("scc", "node").alias("part"), F.col("scc").isNotNull().alias("cyclic")), "parts")
+        part = rounds.cut(here.join(merged(cyclic), "node", "left").select("node", "key", F.coalesce("scc", "node").alias("part"), F.col("scc").isNotNull().alias("cyclic")), "parts")
         ends = [part.select(F.col("node").alias(side), F.col("part").alias(f"p_{side}")) for side in ("src", "dst")]
-        both = rounds.cut(now.join(ends[0], "src").join(ends[1], "dst"), "both")
+        both = rounds.cut(now.join(merged(ends[0]), "src").join(merged(ends[1]), "dst"), "both")
         over = both.where("p_src <> p_dst").select(F.col("p_src").alias("src"), F.col("p_dst").alias("dst")).distinct()
         level = levels(rounds.cut(over, "over"), part.select(F.col("part").alias("node")).distinct(), rounds)
-        placed = part.join(level.select(F.col("node").alias("part"), "level", "pos"), "part")
+        placed = part.join(merged(level.select(F.col("node").alias("part"), "level", "pos")), "part")
         # Within one level of one component: chains by their first node, then places in a chain.
         placed = rounds.cut(placed.select("node", F.concat("key", F.array(*[F.col(c).cast("long") for c in ("level", "pos", "part")])).alias("key"), "cyclic", "part"), "placed")
         done.append(placed.where("not cyclic").select("node", "key"))
@@ -202,7 +202,7 @@ def weak_topological_order(edges: DataFrame, nodes: DataFrame | None = None) ->
         head = rounds.cut(heads(now, cyclic), "heads")
         found_heads.append(head.select("node"))
         here = placed.where("cyclic").select("node", "key")
-        now = both.where("p_src = p_dst").join(head.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+        now = both.where("p_src = p_dst").join(merged(head.select(F.col("node").alias("dst"))), "dst", "left_anti").select("src", "dst")
         now = rounds.cut(now, "now")
     rows = done[0]
     for d in done[1:]:
@@ -210,6 +210,6 @@ def weak_topological_order(edges: DataFrame, nodes: DataFrame | None = None) ->
     top = found_heads[0]
     for h in found_heads[1:]:
         top = top.unionByName(h)
-    rows = rows.join(top.distinct().withColumn("is_head", F.lit(True)), "node", "left")
+    rows = rows.join(merged(top.distinct().withColumn("is_head", F.lit(True))), "node", "left")
     rows = rows.select("node", F.coalesce("is_head", F.lit(False)).alias("is_head"), (F.size("key") / 3 - 1).cast("int").alias("depth"), "key")
     return ranked(rows, [F.asc("key")]).select("node", F.col("rank").alias("order"), "is_head", "depth")

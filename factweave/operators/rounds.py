@@ -32,6 +32,11 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in store.listStatus(there)] if store.exists(there) else []
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """`df`, to be joined by merging. Spark takes a written table for as small as its compressed files and gathers it in the driver for a broadcast, tens of times larger."""
+    return df.hint("merge")
+
+
 class Rounds:
     """The tables of one iteration, in a folder of its own, or in `home`, from which an earlier run is taken up."""
 

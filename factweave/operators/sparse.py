@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions import interval as I
-from factweave.operators.rounds import Rounds
+from factweave.operators.rounds import Rounds, merged
 
 #: node and loc: what a command defines; op and its operands, each a location that the node uses or a constant interval; weak: the old value stays possible.
 COMMANDS = "node long, loc string, op string, x_loc string, x_lo long, x_hi long, y_loc string, y_lo long, y_hi long, weak boolean"
@@ -47,8 +47,8 @@ def joined(rows: DataFrame) -> DataFrame:
 
 def pulled(edges: DataFrame, state: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, loc, lo, hi): what edges (src, dst, loc) bring to each of `nodes`, all if None; bottoms are absent."""
-    into = edges if nodes is None else edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
-    return joined(into.join(state.withColumnRenamed("node", "src"), ["src", "loc"]).select(F.col("dst").alias("node"), "loc", "lo", "hi"))
+    into = edges if nodes is None else edges.join(merged(nodes.select(F.col("node").alias("dst"))), "dst", "left_semi")
+    return joined(into.join(merged(state.withColumnRenamed("node", "src")), ["src", "loc"]).select(F.col("dst").alias("node"), "loc", "lo", "hi"))
 
 
 def known_ops(commands: DataFrame) -> list[str]:
@@ -57,14 +57,14 @@ def known_ops(commands: DataFrame) -> list[str]:
 
 def defined(commands: DataFrame, inputs: DataFrame, ops: list[str], nodes: DataFrame | None = None) -> DataFrame:
     """(node, loc, lo, hi) after the commands of `nodes`, all if None; locations without a command pass through."""
-    ran = commands if nodes is None else commands.join(nodes.select("node"), "node", "left_semi")
+    ran = commands if nodes is None else commands.join(merged(nodes.select("node")), "node", "left_semi")
     for side, loc in (("x", "x_loc"), ("y", "y_loc"), ("old", "loc")):
-        ran = ran.join(inputs.select("node", F.col("loc").alias(loc), F.col("lo").alias(f"{side}_in_lo"), F.col("hi").alias(f"{side}_in_hi")), ["node", loc], "left")
+        ran = ran.join(merged(inputs.select("node", F.col("loc").alias(loc), F.col("lo").alias(f"{side}_in_lo"), F.col("hi").alias(f"{side}_in_hi"))), ["node", loc], "left")
     operand = lambda s: I.interval(F.when(F.col(f"{s}_loc").isNull(), F.col(f"{s}_lo")).otherwise(F.col(f"{s}_in_lo")), F.when(F.col(f"{s}_loc").isNull(), F.col(f"{s}_hi")).otherwise(F.col(f"{s}_in_hi")))
     got = ran.withColumn("got", F.struct(*result_of(F.col("op"), operand("x"), operand("y"), ops).alias())).select("node", "loc", "got.lo", "got.hi")
     held = ran.where("weak").select("node", "loc", F.col("old_in_lo").alias("lo"), F.col("old_in_hi").alias("hi"))
     out = got.unionByName(held).where("lo <= hi")
-    passed = inputs.join(commands.select("node", "loc"), ["node", "loc"], "left_anti")
+    passed = inputs.join(merged(commands.select("node", "loc")), ["node", "loc"], "left_anti")
     return joined(out.unionByName(passed))
 
 
@@ -89,7 +89,7 @@ def sparse_fixpoint(edges: DataFrame, commands: DataFrame, heads: DataFrame, thr
         ran = rounds.cut(commands.where(there).withColumn("weak", F.coalesce("weak", F.lit(False))).distinct(), "commands")
         tops = rounds.cut(heads.where("node is not null").select("node").distinct().withColumn("head", F.lit(True)), "heads")
         none = ran.limit(0).select("node", "loc", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
-        changed = rounds.cut(joined(defined(ran, none, known_ops(ran)).join(ran.select("node"), "node", "left_semi")), "changed")
+        changed = rounds.cut(joined(defined(ran, none, known_ops(ran)).join(merged(ran.select("node")), "node", "left_semi")), "changed")
         parts = [changed]
         rounds.commit(facts, links=links, commands=ran, heads=tops, parts=parts, changed=changed)
     old, new = I.Interval(F.col("lo"), F.col("hi")), I.Interval(F.col("new_lo"), F.col("new_hi"))
@@ -114,11 +114,11 @@ def sparse_fixpoint(edges: DataFrame, commands: DataFrame, heads: DataFrame, thr
             parts = [state]
             break
         state = state_of(parts)
-        nodes = links.join(changed.select(F.col("node").alias("src"), "loc"), ["src", "loc"], "left_semi").select(F.col("dst").alias("node")).distinct()
+        nodes = links.join(merged(changed.select(F.col("node").alias("src"), "loc")), ["src", "loc"], "left_semi").select(F.col("dst").alias("node")).distinct()
         inputs = rounds.cut(pulled(links, state, nodes), "inputs")  # each of `nodes` has some
         nodes = inputs.select("node").distinct()
         out = defined(ran, inputs, ops, nodes).select("node", "loc", F.col("lo").alias("new_lo"), F.col("hi").alias("new_hi"))
-        both = out.join(state.join(nodes, "node", "left_semi"), ["node", "loc"], "left").join(tops, "node", "left")
+        both = out.join(merged(state.join(merged(nodes), "node", "left_semi")), ["node", "loc"], "left").join(merged(tops), "node", "left")
         more, wide = I.join(old, new), I.widen(old, I.join(old, new), steps)
         grown = I.Interval(F.when(F.col("head"), wide.lo).otherwise(more.lo), F.when(F.col("head"), wide.hi).otherwise(more.hi))
         changed = rounds.cut(both.where(~I.le(new, old)).select("node", "loc", *grown.alias()), "changed")
@@ -131,7 +131,7 @@ def sparse_fixpoint(edges: DataFrame, commands: DataFrame, heads: DataFrame, thr
         ended()
         out = defined(ran, rounds.cut(pulled(links, state), "inputs"), ops).select("node", "loc", F.col("lo").alias("new_lo"), F.col("hi").alias("new_hi"))
         less = I.narrow(old, I.meet(new, old), steps)
-        rows = state.join(out, ["node", "loc"], "left").select("node", "loc", *less.alias(), (~I.eq(less, old)).alias("shrank"))
+        rows = state.join(merged(out), ["node", "loc"], "left").select("node", "loc", *less.alias(), (~I.eq(less, old)).alias("shrank"))
         new_state = rounds.cut(rows, "state")
         facts = {"phase": "narrow", "left": facts["left"] - 1 if not new_state.where("shrank").isEmpty() else 0}
         state = new_state.where("lo is not null").drop("shrank")

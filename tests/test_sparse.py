@@ -6,6 +6,7 @@ from factweave.functions import interval as I
 from factweave.operators import components as comp
 from factweave.operators import dominance as dom
 from factweave.operators import sparse
+from factweave.operators.rounds import Rounds
 
 INF = (I.NEG, I.POS)
 
@@ -115,3 +116,18 @@ def test_a_run_that_was_ended_goes_on(spark, tmp_path):
     after = sorted(p.name for p in (tmp_path / "run" / "manifests").iterdir())
     assert done < set(after) and len({n.split("-")[0] for n in after}) == len(after)
     assert len(list((tmp_path / "run" / "tables").iterdir())) <= 6  # replaced rounds are gone
+
+
+def test_no_round_gathers_a_table_in_the_driver(spark, monkeypatch):
+    """Written tables look as small as their files, so Spark would broadcast those of millions of rows."""
+    plans, cut = [], Rounds.cut
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(Rounds, "cut", lambda self, df, label: [plans.append((label, plan(df))), cut(self, df, label)][1])
+    edges = spark.createDataFrame([(1, 2, "x"), (2, 3, "x"), (3, 2, "x"), (2, 4, "x"), (4, 5, "x"), (5, 2, "x")], "src long, dst long, loc string")
+    rows = [(1, "x", "copy", None, 0, 0, None, None, None, False), (3, "x", "plus", "x", None, None, None, 1, 1, False), (4, "x", "lt", "x", None, None, None, 40, 40, False), (5, "x", "copy", "x", None, None, None, None, None, True)]
+    heads = comp.loop_heads(edges)
+    assert [r.node for r in heads.collect()] == [2]
+    state = sparse.sparse_fixpoint(edges, spark.createDataFrame(rows, sparse.COMMANDS), heads, narrowing=1)
+    assert {(r.node, r.lo, r.hi) for r in state.collect()} == {(1, 0, 0), (2, 0, I.POS), (3, 1, I.POS), (4, 0, 39), (5, 0, 39)}
+    assert {"chains", "labels", "back", "changed", "inputs", "state"} <= {label for label, _ in plans}
+    assert [label for label, text in plans if "Broadcast" in text] == []
