@@ -151,7 +151,7 @@ def bounds_alarms(checks: DataFrame, inputs: DataFrame) -> DataFrame:
     """`checks` (node, x_loc, y_loc, size_loc) with offset (x plus y, either may be null), size and status, from what reaches their nodes (`inputs`)."""
     rows = checks
     for side in ("x", "y", "size"):
-        rows = rows.join(inputs.select("node", F.col("loc").alias(f"{side}_loc"), F.col("lo").alias(f"{side}_lo"), F.col("hi").alias(f"{side}_hi")), ["node", f"{side}_loc"], "left")
+        rows = rows.join(merged(inputs.select("node", F.col("loc").alias(f"{side}_loc"), F.col("lo").alias(f"{side}_lo"), F.col("hi").alias(f"{side}_hi"))), ["node", f"{side}_loc"], "left")
     part = lambda s: I.Interval(*[F.when(F.col(f"{s}_loc").isNull(), F.lit(0).cast("long")).otherwise(F.col(f"{s}_{b}")) for b in ("lo", "hi")])
     offset, size = I.plus(part("x"), part("y")), I.interval("size_lo", "size_hi")
     return rows.select(*checks.columns, *offset.alias("off_lo", "off_hi"), "size_lo", "size_hi", bounds_status(offset, size).alias("status"))

@@ -128,6 +128,9 @@ def test_no_round_gathers_a_table_in_the_driver(spark, monkeypatch):
     heads = comp.loop_heads(edges)
     assert [r.node for r in heads.collect()] == [2]
     state = sparse.sparse_fixpoint(edges, spark.createDataFrame(rows, sparse.COMMANDS), heads, narrowing=1)
+    inputs = sparse.pulled(edges, state)
+    checks = spark.createDataFrame([(3, "x", None, "x")], "node long, x_loc string, y_loc string, size_loc string")
+    plans.append(("alarms", plan(sparse.bounds_alarms(checks, inputs))))
     assert {(r.node, r.lo, r.hi) for r in state.collect()} == {(1, 0, 0), (2, 0, I.POS), (3, 1, I.POS), (4, 0, 39), (5, 0, 39)}
     assert {"chains", "labels", "back", "changed", "inputs", "state"} <= {label for label, _ in plans}
     assert [label for label, text in plans if "Broadcast" in text] == []
